@@ -110,35 +110,38 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None) -> DataFrame:
     ``verify``, if given, takes candidate pairs ``(a, b)`` and returns those that hold.
 
     All links count, yet a group of g nodes never yields g*g pairs. First each node is tried against its group's
-    leader and its neighbour in fingerprint order, which is linear and joins most of a crowded group. Then only
-    nodes outside the group's largest component so far are compared with the nodes of other components; pairs inside
-    one component cannot change the result. Nodes without a link are absent from the result.
+    leader and its neighbour in fingerprint order, which is linear, joins most of a crowded group, and covers all pairs
+    of a group of up to three. Of larger groups, only nodes outside the group's largest component so far are then
+    compared with the nodes of other components; pairs inside one component cannot change the result. Nodes without a link are absent from the result.
     """
     verify = verify or (lambda pairs: pairs)
     from pyspark.sql import Window as W
 
     in_key = W.partitionBy("key").orderBy("fp", "id")
-    crowd = keyed.select(
-        "key", "id", "fp",
+    beside = {n: (F.lag if n < 0 else F.lead)("id", abs(n)).over(in_key).isNotNull() for n in (-3, -2, -1, 1, 2, 3)}
+    many = beside[-3] | (beside[-2] & beside[1]) | (beside[-1] & beside[2]) | beside[3]
+    tried = keyed.select(
+        "key", "id", "fp", many.alias("many"),
         F.first(F.struct("id", "fp")).over(in_key.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("lead"),
         F.lag(F.struct("id", "fp")).over(in_key).alias("prev"),
-        F.lead("id").over(in_key).alias("next"),
     )
-    crowd = settle(crowd.where("prev is not null or next is not null").drop("next"), "crowd")
-    near = lambda c: (F.col(f"{c}.id") != F.col("id")) & (hamming(F.col(f"{c}.fp"), F.col("fp")) <= max_bits)
+    near = lambda c: F.when((F.col(f"{c}.id") != F.col("id")) & (hamming(F.col(f"{c}.fp"), F.col("fp")) <= max_bits), F.col(f"{c}.id"))
+    tried = tried.select("key", "id", "fp", "many", near("lead").alias("lead"), near("prev").alias("prev"))
+    tried = settle(tried.where("many or lead is not null or prev is not null"), "tried")
+    crowd = tried.where("many").select("key", "id", "fp")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    to = [crowd.where(near(c)).select(*pair(F.col("id"), F.col(f"{c}.id"))) for c in ("lead", "prev")]
+    to = [tried.where(F.col(c).isNotNull()).select(*pair(F.col("id"), F.col(c))) for c in ("lead", "prev")]
     first = settle(verify(to[0].union(to[1]).distinct()), "links")
     found = settle(components(first), "parts")
 
-    placed = crowd.select("key", "id", "fp").join(found, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part"))
+    placed = crowd.join(found, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part"))
     counted = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     placed = settle(placed.join(mixed, "key"), "mixed")
     odd = placed.where("part <> main").select("key", F.col("id").alias("id2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"))
     far = odd.join(placed, "key").where((F.col("part") != F.col("part2")) & (hamming(F.col("fp"), F.col("fp2")) <= max_bits))
     more = settle(verify(far.select(*pair(F.col("id"), F.col("id2"))).distinct()), "links")
-    discard(crowd)
+    discard(tried)
     if more.isEmpty():
         return found
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
