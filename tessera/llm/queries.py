@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import scratch_path, table
+
+
+def _line_dedup(spark, sf_dir):
+    from tessera.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def _packing(spark, sf_dir):
+    from tessera.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _token_files(spark, sf_dir):
+    from tessera.llm.token_files import read, write
+
+    return read(spark, write(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def _decontamination(spark, sf_dir):
+    from tessera.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _top_k(spark, sf_dir):
+    from tessera.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
 def _simhash(spark, sf_dir):
@@ -14,8 +46,28 @@ def _simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _secrets(spark, sf_dir):
+    from tessera.llm.secrets import scan
+
+    out = scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_confirmed")
+
+
+def _extraction(spark, sf_dir):
+    from tessera.llm.extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_line_dedup": _line_dedup,
+    "op2_best_fit_packing": _packing,
+    "op4_token_files": _token_files,
+    "op5_decontamination": _decontamination,
+    "op6_exact_top_k": _top_k,
     "op7_simhash_near_dedup": _simhash,
+    "op8_secret_scan": _secrets,
+    "op9_html_extraction": _extraction,
 }
 
 ORACLES: dict[str, str] = {}
