@@ -17,6 +17,8 @@ SEED = 42
 MAX_BITS = 4
 #: (shift, bits) of the three fingerprint segments; the last is padded with zeros to the code's 23 bits.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: (shift, bits) of three blocks of a segment.
+BLOCKS = ((0, 8), (8, 8), (16, 7))
 GENERATOR = 0b101011100011  # of the binary Golay code [23, 12, 7]
 
 
@@ -96,7 +98,8 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Each segment decodes to the index of its nearest codeword (at most 3 bits away) and to those of all codewords
     within 4. Of at most four wrong bits in three segments, either two segments have at most one each: then the nearest
     codeword of one fingerprint is among the near ones of the other, in both segments, and a key pairs the nearest index
-    in one segment with a near index in the other. Or the errors are 2, 2 and 0: then one whole segment is equal.
+    in one segment with a near index in the other. Or the errors are 2, 2 and 0: then one whole segment is equal, and so
+    is one of three blocks of another; a key pairs the segment with the block.
     """
     nearest_error, near_errors = golay()
     low, high = _syndromes()
@@ -119,8 +122,10 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out_rows.append(np.broadcast_to(rows[:, None], keys.shape)[kept])
             out_keys.append(keys[kept])
     for s, value in enumerate(segments):
-        out_rows.append(rows)
-        out_keys.append(((3 + s) << 24) | value)
+        other = segments[1 if s == 0 else 0]
+        for b, (shift, bits) in enumerate(BLOCKS):
+            out_rows.append(rows)
+            out_keys.append(((3 + 3 * s + b) << 32) | (value << 8) | (other >> shift & ((1 << bits) - 1)))
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
