@@ -20,6 +20,13 @@ def _packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _toxicity(spark, sf_dir):
+    from tessera.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def _token_files(spark, sf_dir):
     from tessera.llm.token_files import read, write
 
@@ -59,15 +66,37 @@ def _extraction(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
+def _rollups(spark, sf_dir):
+    """Loads all counts, deletes exact copies, revises counts to include an end token, and repeats a batch in vain."""
+    from tessera.llm.common import settle
+    from tessera.llm.rollups import TokenRollup, count_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    counts = settle(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k"), "counts")
+    words = docs.select("doc_id", "source", "lang", F.lit("words").alias("version"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("n_tokens"))
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("load", upserts=counts.unionByName(words))
+    alike = docs.select("doc_id", F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), F.length("text").alias("n"))
+    first = alike.groupBy("h", "c", "n").agg(F.min("doc_id").alias("first"))
+    copies = settle(alike.join(first, ["h", "c", "n"]).where("doc_id <> first").select("doc_id"), "copies")
+    rollup.commit("copies", deletes=copies)
+    ended = rollup.state().where("version = 'byte_bpe_50k'").withColumn("n_tokens", F.col("n_tokens") + 1)
+    rollup.commit("end-token", upserts=ended)
+    rollup.commit("copies", deletes=copies)
+    return rollup.totals()
+
+
 QUERIES = {
     "op1_line_dedup": _line_dedup,
     "op2_best_fit_packing": _packing,
+    "op3_toxicity": _toxicity,
     "op4_token_files": _token_files,
     "op5_decontamination": _decontamination,
     "op6_exact_top_k": _top_k,
     "op7_simhash_near_dedup": _simhash,
     "op8_secret_scan": _secrets,
     "op9_html_extraction": _extraction,
+    "op10_token_counts": _rollups,
 }
 
 ORACLES: dict[str, str] = {}
