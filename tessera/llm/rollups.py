@@ -122,5 +122,5 @@ class TokenRollup:
         stream = self.store.create(self._at(draft), True)
         stream.write(bytearray(json.dumps({"folder": folder}).encode()))
         stream.close()
-        # A rename onto an existing file fails, so of two writers of one batch only one commits.
+        # On stores whose rename replaces a file, two writers must not commit the same batch at the same moment.
         return bool(not self.store.exists(self._at(marker)) and self.store.rename(self._at(draft), self._at(marker)))
