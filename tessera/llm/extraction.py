@@ -173,7 +173,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     order = ("host", "path", "url", "page_id")
     key = F.struct("host", "path", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))
-    light = rows.select(key.alias("k")).repartitionByRange(F.col("k"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = rows.select(key.alias("k")).repartitionByRange(parts, F.col("k"))
     ends = light.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("first"), F.max("k").alias("last")).collect()  # a row for each range
     ends = sorted((tuple(r["first"]), tuple(r["last"])) for r in ends)
     firsts, n = [a for a, _ in ends], max(1, len(ends))
