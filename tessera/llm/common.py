@@ -103,35 +103,33 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return state.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def link_groups(keyed: DataFrame, max_bits: int, verify=None) -> DataFrame:
+def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) -> DataFrame:
     """Components ``(id, component)`` of nodes that share a key and differ in at most ``max_bits`` fingerprint bits.
 
     ``keyed(key long, id long, fp long)`` has one row for each node and key; ``fp`` depends on ``id`` alone.
     ``verify``, if given, takes candidate pairs ``(a, b)`` and returns those that hold.
 
     All links count, yet a group of g nodes never yields g*g pairs. First each node is tried against its group's
-    leader and its neighbour in fingerprint order, which is linear, joins most of a crowded group, and covers all pairs
-    of a group of up to three. Of larger groups, only nodes outside the group's largest component so far are then
+    leader and the ``reach`` nodes before it in fingerprint order, which is linear, joins most of a crowded group, and
+    covers all pairs of a group of up to three, or ``reach + 1``. Of larger groups, only nodes outside the group's largest component so far are then
     compared with the nodes of other components; pairs inside one component cannot change the result. Nodes without a link are absent from the result.
     """
     verify = verify or (lambda pairs: pairs)
     from pyspark.sql import Window as W
 
     in_key = W.partitionBy("key").orderBy("fp", "id")
-    beside = {n: (F.lag if n < 0 else F.lead)("id", abs(n)).over(in_key).isNotNull() for n in (-3, -2, -1, 1, 2, 3)}
-    many = beside[-3] | (beside[-2] & beside[1]) | (beside[-1] & beside[2]) | beside[3]
-    tried = keyed.select(
-        "key", "id", "fp", many.alias("many"),
-        F.first(F.struct("id", "fp")).over(in_key.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("lead"),
-        F.lag(F.struct("id", "fp")).over(in_key).alias("prev"),
-    )
+    node = F.struct("id", "fp")
+    others = {"lead": F.first(node).over(in_key.rowsBetween(W.unboundedPreceding, W.currentRow))}
+    others |= {f"prev{i}": F.lag(node, i).over(in_key) for i in range(1, reach + 1)}
+    in_all = F.count(F.lit(1)).over(in_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    tried = keyed.select("key", "id", "fp", (in_all > max(3, reach + 1)).alias("many"), *(c.alias(n) for n, c in others.items()))
     near = lambda c: F.when((F.col(f"{c}.id") != F.col("id")) & (hamming(F.col(f"{c}.fp"), F.col("fp")) <= max_bits), F.col(f"{c}.id"))
-    tried = tried.select("key", "id", "fp", "many", near("lead").alias("lead"), near("prev").alias("prev"))
-    tried = settle(tried.where("many or lead is not null or prev is not null"), "tried")
+    tried = tried.select("key", "id", "fp", "many", F.array_compact(F.array(*map(near, others))).alias("to"))
+    tried = settle(tried.where("many or size(to) > 0"), "tried")
     crowd = tried.where("many").select("key", "id", "fp")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    to = [tried.where(F.col(c).isNotNull()).select(*pair(F.col("id"), F.col(c))) for c in ("lead", "prev")]
-    first = settle(verify(to[0].union(to[1]).distinct()), "links")
+    to = tried.select("id", F.explode("to").alias("other")).select(*pair(F.col("id"), F.col("other")))
+    first = settle(verify(to.distinct()), "links")
     found = settle(components(first), "parts")
 
     placed = crowd.join(found, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part"))

@@ -17,6 +17,8 @@ SEED = 42
 MAX_BITS = 4
 #: (shift, bits) of the three fingerprint segments; the last is padded with zeros to the code's 23 bits.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Neighbours by fingerprint order within a key that a fingerprint is compared with at once.
+REACH = 7
 #: (shift, bits) of three blocks of a segment.
 BLOCKS = ((0, 8), (8, 8), (16, 7))
 GENERATOR = 0b101011100011  # of the binary Golay code [23, 12, 7]
@@ -150,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = settle(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = settle(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
-    parts = link_groups(_keyed(classes), MAX_BITS)
+    parts = link_groups(_keyed(classes), MAX_BITS, reach=REACH)
     named = classes.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
