@@ -103,6 +103,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return state.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+#: Neighbours in a crowded key that a node is compared with before all nodes of other components are.
+CROWD_REACH = 15
+
+
 def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) -> DataFrame:
     """Components ``(id, component)`` of nodes that share a key and differ in at most ``max_bits`` fingerprint bits.
 
@@ -132,7 +136,15 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) ->
     first = settle(verify(to.distinct()), "links")
     found = settle(components(first), "parts")
 
+    # Crowded keys once more, against more neighbours of other components: most of what the cross phase would find pair by pair.
     placed = crowd.join(found, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part"))
+    beside = placed.select("id", "fp", "part", *(F.lag(F.struct("id", "fp", "part"), i).over(in_key).alias(f"prev{i}") for i in range(1, CROWD_REACH + 1)))
+    close = lambda c: F.when((F.col(f"{c}.part") != F.col("part")) & (hamming(F.col(f"{c}.fp"), F.col("fp")) <= max_bits), F.col(f"{c}.id"))
+    beside = beside.select("id", F.explode(F.array_compact(F.array(*(close(f"prev{i}") for i in range(1, CROWD_REACH + 1))))).alias("other"))
+    again = settle(verify(beside.select(*pair(F.col("id"), F.col("other"))).distinct()), "links")
+    if not again.isEmpty():
+        found = settle(merge(found, again), "parts")
+        placed = crowd.join(found, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part"))
     counted = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     placed = settle(placed.join(mixed, "key"), "mixed")
@@ -142,4 +154,9 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) ->
     discard(tried)
     if more.isEmpty():
         return found
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    return merge(found, more)
+
+
+def merge(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``found(id, component)`` joined by further ``links(a, b)``."""
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
