@@ -273,12 +273,13 @@ register("rank_ic", lambda s, d: rounded(relational.rank_ic(_signals(s, d)), 6,
 def _member_days(spark, sf_dir):
     bars = views.panel(spark, sf_dir)
     months = views.monthly_members(bars, 5)
-    return bars.join(months, (F.date_trunc("month", "datetime") == F.col("month")) & (bars["vt_symbol"] == months["vt_symbol"])).select(F.to_date("datetime").alias("date"), bars["vt_symbol"])
+    return bars.select("datetime", "vt_symbol", F.date_trunc("month", "datetime").alias("month")).join(months, ["month", "vt_symbol"]).select(F.to_date("datetime").alias("date"), "vt_symbol")
 
 
 _MEM = f"{PANEL_SQL}, mm AS (SELECT month, vt_symbol FROM (SELECT date_trunc('month', datetime) AS month, vt_symbol, row_number() OVER (PARTITION BY date_trunc('month', datetime) ORDER BY sum(turnover) DESC, vt_symbol) AS n FROM panel GROUP BY 1, 2) t WHERE n <= 5), md AS (SELECT CAST(p.datetime AS DATE) AS date, p.vt_symbol FROM panel p JOIN mm ON date_trunc('month', p.datetime) = mm.month AND p.vt_symbol = mm.vt_symbol)"
 _ISL = f"{_MEM}, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM md) t), r AS (SELECT m.vt_symbol, m.date, c.n - row_number() OVER (PARTITION BY m.vt_symbol ORDER BY m.date) AS g FROM (SELECT DISTINCT * FROM md) m JOIN cal c ON m.date = c.date), isl AS (SELECT vt_symbol, min(date) AS start, max(date) AS \"end\", count(*) AS n_days FROM r GROUP BY vt_symbol, g)"
-register("membership_islands", lambda s, d: relational.islands(_member_days(s, d)), f'WITH {_ISL} SELECT vt_symbol, start, "end", n_days FROM isl')
+register("membership_islands", lambda s, d: relational.islands(_member_days(s, d)).withColumns({"start": F.col("start").cast("string"), "end": F.col("end").cast("string")}),
+         f'WITH {_ISL} SELECT vt_symbol, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", n_days FROM isl')
 register("membership_range_join", lambda s, d: rounded(relational.member_filter(views.panel(s, d), relational.islands(_member_days(s, d))).select("datetime", "vt_symbol", "close"), 4, "close"),
          f'WITH {_ISL} SELECT p.datetime, p.vt_symbol, {_r("p.close", 4, "close")} FROM panel p WHERE EXISTS (SELECT 1 FROM isl i WHERE i.vt_symbol = p.vt_symbol AND p.datetime BETWEEN i.start AND i."end")')
 
@@ -304,3 +305,147 @@ register("industry_neutral", lambda s, d: rounded(alpha101.neutral(views.panel(s
          f"WITH {PANEL_SQL}, q AS (SELECT p.datetime, p.vt_symbol, close / open - avg(close / open) OVER (PARTITION BY datetime, n_name) AS v FROM panel p JOIN supplier ON CAST(s_suppkey AS VARCHAR) = p.vt_symbol JOIN nation ON s_nationkey = n_nationkey) SELECT datetime, vt_symbol, {_r('v', 6)} FROM q")
 register("param_grid", lambda s, d: rounded(relational.parameter_grid(s, {"fast": (5, 20, 5), "slow": (0.1, 0.5, 0.2)}).select(F.col("param_id").cast("long"), "fast", "slow"), 6, "fast", "slow"),
          f"WITH g AS (SELECT CAST(a AS DOUBLE) AS fast, 0.1 + b * 0.2 AS slow FROM (VALUES (5), (10), (15), (20)) x(a), (VALUES (0), (1), (2)) y(b)) SELECT row_number() OVER (ORDER BY fast, slow) AS param_id, {_r('fast', 6, 'fast')}, {_r('slow', 6, 'slow')} FROM g")
+
+
+# Resampling.
+_OHLC = "arg_min({o}, k) AS open, max({h}) AS high, min({l}) AS low, arg_max({c}, k) AS close"
+_STEPS = f"{TICKS_SQL}, st AS (SELECT *, coalesce(greatest(volume - lag(volume) OVER o, 0), 0) AS dv, row_number() OVER (ORDER BY datetime, event_id) AS k FROM ticks WINDOW o AS (PARTITION BY vt_symbol ORDER BY datetime, event_id))"
+_M1 = f"{_STEPS}, m AS (SELECT vt_symbol, date_trunc('minute', datetime) AS datetime, {_OHLC.format(o='last_price', h='last_price', l='last_price', c='last_price')}, sum(dv) AS volume, count(*) AS n_ticks FROM st WHERE last_price > 0 GROUP BY 1, 2)"
+_BAR = ("open", "high", "low", "close", "volume")
+_BARS = ", ".join(_r(c, 4, c) for c in _BAR)
+
+
+def _minutes(spark, sf_dir, n=1):
+    return resample.bars_from_ticks(views.ticks(spark, sf_dir), n)
+
+
+register("bars_minute", lambda s, d: rounded(_minutes(s, d), 4, *_BAR), f"WITH {_M1} SELECT vt_symbol, datetime, {_BARS}, n_ticks FROM m")
+for _unit, _trunc in (("hour", "hour"), ("day", "day")):
+    register(f"bars_{_unit}", lambda s, d, u=_unit: rounded(resample.longer_bars(_minutes(s, d), u), 4, *_BAR),
+             f"WITH {_M1}, n AS (SELECT *, row_number() OVER (ORDER BY datetime) AS k FROM m), q AS (SELECT vt_symbol, date_trunc('{_trunc}', datetime) AS datetime, {_OHLC.format(o='open', h='high', l='low', c='close')}, sum(volume) AS volume, CAST(sum(n_ticks) AS BIGINT) AS n_ticks FROM n GROUP BY 1, 2) SELECT vt_symbol, datetime, {_BARS}, n_ticks FROM q")
+register("bars_15_minutes", lambda s, d: rounded(resample.longer_bars(_minutes(s, d), "minute", 15), 4, *_BAR),
+         f"WITH {_M1}, n AS (SELECT *, row_number() OVER (ORDER BY datetime) AS k FROM m), q AS (SELECT vt_symbol, time_bucket(INTERVAL '15 minutes', datetime) AS datetime, {_OHLC.format(o='open', h='high', l='low', c='close')}, sum(volume) AS volume, CAST(sum(n_ticks) AS BIGINT) AS n_ticks FROM n GROUP BY 1, 2) SELECT vt_symbol, datetime, {_BARS}, n_ticks FROM q")
+register("bars_ffill", lambda s, d: rounded(resample.fill_bars(views.panel(s, d).where("cast(vt_symbol as int) <= 20").select("datetime", "vt_symbol", *_BAR)), 4, *_BAR),
+         f"WITH {PANEL_SQL}, p AS (SELECT * FROM panel WHERE CAST(vt_symbol AS INT) <= 20), g AS (SELECT s.vt_symbol, t.datetime FROM (SELECT vt_symbol, min(datetime) AS f FROM p GROUP BY 1) s JOIN (SELECT DISTINCT datetime FROM p) t ON t.datetime >= s.f), j AS (SELECT g.vt_symbol, g.datetime, p.open, p.high, p.low, p.close, p.volume, count(p.close) OVER (PARTITION BY g.vt_symbol ORDER BY g.datetime ROWS UNBOUNDED PRECEDING) AS n FROM g LEFT JOIN p ON g.vt_symbol = p.vt_symbol AND g.datetime = p.datetime), q AS (SELECT vt_symbol, datetime, close IS NULL AS filled, coalesce(open, l) AS open, coalesce(high, l) AS high, coalesce(low, l) AS low, coalesce(close, l) AS close, coalesce(volume, 0) AS volume FROM (SELECT *, max(close) OVER (PARTITION BY vt_symbol, n) AS l FROM j) t) SELECT vt_symbol, datetime, {_BARS}, filled FROM q")
+
+# Indicators.
+
+
+def indicator(name: str, spec: tuple, digits: int, sql: str | None = None) -> None:
+    """An indicator on the panel; ``sql`` gives value columns over ``p`` with the windows o (ordered) and w (14 rows)."""
+    parts = indicators.WINDOWED[spec[0]][1] if spec[0] in indicators.WINDOWED else indicators.RECURSIVE[spec[0]][2]
+    names = [f"value_{p}" for p in parts] if parts else ["value"]
+    wide = [f"p14 AS (SELECT *, lag(close, 1) OVER o AS c1, (high + low + close) / 3 AS tp, row_number() OVER o AS rn FROM panel WINDOW o AS (PARTITION BY vt_symbol ORDER BY datetime))"]
+
+    def query(spark, sf_dir):
+        return rounded(indicators.add(views.panel(spark, sf_dir), {"value": spec}).select(*KEY, *names), digits, *names)
+
+    register(f"ind_{name}", query, sql and f"WITH {PANEL_SQL}, {wide[0]}, q AS (SELECT datetime, vt_symbol, {sql} FROM p14 WINDOW o AS (PARTITION BY vt_symbol ORDER BY datetime), w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), u AS (PARTITION BY vt_symbol ORDER BY datetime ROWS UNBOUNDED PRECEDING)) SELECT datetime, vt_symbol, {', '.join(_r(n, digits, n) for n in names)} FROM q")
+
+
+_G = "CASE WHEN rn >= 14 THEN {} END AS {}"
+indicator("sma", ("sma", 14), 3, _G.format("avg(close) OVER w", "value"))
+indicator("wma", ("wma", 14), 3, _G.format("(" + " + ".join(f"{14 - j} * lag(close, {j}) OVER o" if j else "14 * close" for j in range(14)) + ") / 105", "value"))
+indicator("mom", ("mom", 14), 3, "close - lag(close, 14) OVER o AS value")
+indicator("roc", ("roc", 14), 4, "(close / lag(close, 14) OVER o - 1) * 100 AS value")
+indicator("rocp", ("rocp", 14), 6, "close / lag(close, 14) OVER o - 1 AS value")
+indicator("rocr", ("rocr", 14), 6, "close / lag(close, 14) OVER o AS value")
+indicator("rocr_100", ("rocr_100", 14), 4, "close / lag(close, 14) OVER o * 100 AS value")
+indicator("std", ("std", 14), 3, _G.format("stddev_pop(close) OVER w", "value"))
+indicator("apo", ("apo_sma", 5, 14), 3, _G.format("avg(close) OVER (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) - avg(close) OVER w", "value"))
+indicator("ppo", ("ppo_sma", 5, 14), 4, _G.format("(avg(close) OVER (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(close) OVER w - 1) * 100", "value"))
+indicator("obv", ("obv",), 3, "sum(CASE WHEN c1 IS NULL OR close > c1 THEN volume WHEN close < c1 THEN -volume ELSE 0 END) OVER u AS value")
+indicator("willr", ("willr", 14), 4, _G.format("CASE WHEN max(high) OVER w = min(low) OVER w THEN 0 ELSE (max(high) OVER w - close) / (max(high) OVER w - min(low) OVER w) * -100 END", "value"))
+indicator("trange", ("trange",), 3, "CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS value")
+indicator("boll", ("boll", 14, 2.0), 3, _G.format("avg(close) OVER w + 2 * stddev_pop(close) OVER w", "value_up") + ", " + _G.format("avg(close) OVER w - 2 * stddev_pop(close) OVER w", "value_down"))
+indicator("donchian", ("donchian", 14), 3, _G.format("max(high) OVER w", "value_up") + ", " + _G.format("min(low) OVER w", "value_down"))
+indicator("ad", ("ad",), 2, "sum(CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) * volume END) OVER u AS value")
+indicator("bop", ("bop",), 6, "CASE WHEN high <= low THEN 0 ELSE (close - open) / (high - low) END AS value")
+for _name, _spec in (("cci", ("cci", 14)), ("ultosc", ("ultosc", 7, 14, 28)), ("aroon", ("aroon", 14)), ("aroonosc", ("aroonosc", 14)), ("mfi", ("mfi", 14)), ("ema", ("ema", 14)), ("kama", ("kama", 14)), ("cmo", ("cmo", 14)), ("trix", ("trix", 14)),
+                     ("rsi", ("rsi", 14)), ("macd", ("macd", 12, 26, 9)), ("atr", ("atr", 14)), ("natr", ("natr", 14)), ("adx", ("adx", 14)), ("adxr", ("adxr", 14)), ("dx", ("dx", 14)), ("minus_di", ("minus_di", 14)), ("plus_di", ("plus_di", 14)),
+                     ("minus_dm", ("minus_dm", 14)), ("plus_dm", ("plus_dm", 14)), ("keltner", ("keltner", 14, 2.0)), ("adosc", ("adosc", 3, 10)), ("stoch", ("stoch", 9, 3, 0, 3, 0)), ("sar", ("sar", 0.02, 0.2))):
+    indicator(_name, _spec, 4)
+
+# Factors, signals, accounts.
+
+
+def _catalogue(spark, sf_dir):
+    return factors.volume(factors.volatility(factors.momentum(views.panel(spark, sf_dir))))
+
+
+_FAC = f"{PANEL_SQL}, f1 AS (SELECT *, close / lag(close, 1) OVER o - 1 AS r1, close / lag(close, 5) OVER o - 1 AS r5, row_number() OVER o AS rn, lag(close, 1) OVER o AS c1, lag(volume, 1) OVER o AS v1 FROM panel WINDOW o AS (PARTITION BY vt_symbol ORDER BY datetime))"
+_W6 = "w6 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+register("factor_momentum", lambda s, d: rounded(factors.momentum(views.panel(s, d)).select(*KEY, "momentum", "momentum_strength", "momentum_trend"), 6, "momentum", "momentum_strength"),
+         f"WITH {_FAC}, q AS (SELECT datetime, vt_symbol, rn, r5, max(close) OVER w6 - min(close) OVER w6 AS s FROM (SELECT *, close FROM f1) t WINDOW {_W6}), p AS (SELECT f1.*, max(close) OVER w6 - min(close) OVER w6 AS s FROM f1 WINDOW {_W6}) SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 6 THEN r5 END', 6, 'momentum')}, {_r('CASE WHEN rn >= 6 THEN CASE WHEN s = 0 THEN 0 ELSE r5 / s END END', 6, 'momentum_strength')}, CASE WHEN rn < 6 THEN 'UNKNOWN' WHEN r5 >= 0.001 THEN 'UP' WHEN r5 <= -0.001 THEN 'DOWN' ELSE 'FLAT' END AS momentum_trend FROM p")
+register("factor_volatility", lambda s, d: rounded(factors.volatility(views.panel(s, d)).select(*KEY, "volatility", "volatility_level"), 6, "volatility"),
+         f"WITH {_FAC}, q AS (SELECT datetime, vt_symbol, CASE WHEN count(r1) OVER w = 20 THEN stddev_pop(r1) OVER w END AS v FROM f1 WINDOW w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT datetime, vt_symbol, {_r('v', 6, 'volatility')}, CASE WHEN v IS NULL THEN 'UNKNOWN' WHEN v >= 0.02 THEN 'HIGH' WHEN v <= 0.005 THEN 'LOW' ELSE 'MEDIUM' END AS volatility_level FROM q")
+register("factor_volume", lambda s, d: rounded(factors.volume(views.panel(s, d)).select(*KEY, "volume_ratio", "volume_level", "price_volume_signal"), 6, "volume_ratio"),
+         f"""WITH {_FAC}, q AS (SELECT *, avg(volume) OVER w5 AS m FROM f1 WINDOW w5 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), p AS (SELECT *, volume / m AS r FROM q)
+  SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 10 THEN r END', 6, 'volume_ratio')}, CASE WHEN rn < 10 THEN 'UNKNOWN' WHEN r >= 1.5 THEN 'HIGH' WHEN r <= 0.7 THEN 'LOW' ELSE 'NORMAL' END AS volume_level,
+  CASE WHEN rn < 10 THEN 'UNKNOWN' WHEN close > c1 AND r >= 1.5 THEN 'PRICE_UP_VOLUME_UP' WHEN close > c1 AND r <= 0.7 THEN 'PRICE_UP_VOLUME_DOWN' WHEN close < c1 AND r >= 1.5 THEN 'PRICE_DOWN_VOLUME_UP' WHEN close < c1 AND r <= 0.7 THEN 'PRICE_DOWN_VOLUME_DOWN' ELSE 'NEUTRAL' END AS price_volume_signal FROM p""")
+register("factor_bollinger", lambda s, d: rounded(factors.bollinger(views.panel(s, d)).select(*KEY, "boll_width", "boll_position", "boll_signal"), 5, "boll_width", "boll_position"),
+         f"""WITH {_FAC}, q AS (SELECT *, avg(close) OVER w AS m, 2 * stddev_pop(close) OVER w AS s FROM f1 WINDOW w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), p AS (SELECT *, CASE WHEN s = 0 THEN 0.5 ELSE (close - (m - s)) / (2 * s) END AS t FROM q)
+  SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 20 THEN 2 * s / m END', 5, 'boll_width')}, {_r('CASE WHEN rn >= 20 THEN t END', 5, 'boll_position')}, CASE WHEN rn < 20 THEN 'UNKNOWN' WHEN t > 1 THEN 'BREAK_UP' WHEN t < 0 THEN 'BREAK_DOWN' WHEN t >= 0.8 THEN 'NEAR_UPPER' WHEN t <= 1 - 0.8 THEN 'NEAR_LOWER' ELSE 'MIDDLE' END AS boll_signal FROM p""")
+register("factor_reversal", lambda s, d: rounded(factors.price_volume_reversal(views.panel(s, d)).select(*KEY, "price_volume_reversal", "divergence_signal"), 5, "price_volume_reversal"))
+register("factor_fade", lambda s, d: rounded(factors.confirmed(factors.intraday_fade(views.panel(s, d)), times=2).select(*KEY, "fade_score", "fade_signal", "confirmed"), 6, "fade_score"))
+register("factor_fade_single", lambda s, d: rounded(factors.intraday_fade(views.panel(s, d), single=True).select(*KEY, "fade_score", "fade_signal"), 6, "fade_score"))
+register("factor_volume_stall", lambda s, d: rounded(factors.volume_stall(views.panel(s, d)).select(*KEY, "stall_score", "stall_signal"), 5, "stall_score"))
+register("factor_inflection", lambda s, d: factors.inflection_entry(views.panel(s, d)).select(*KEY, "entry"))
+register("factor_alert", lambda s, d: factors.bar_alert(views.panel(s, d)).where("alert is not null").select(*KEY, "alert"))
+register("factor_label", lambda s, d: rounded(factors.future_return(views.panel(s, d)).select(*KEY, "future_ret_5"), 6, "future_ret_5"),
+         f"WITH {PANEL_SQL}, q AS (SELECT datetime, vt_symbol, lead(close, 5) OVER (PARTITION BY vt_symbol ORDER BY datetime) / close - 1 AS v FROM panel) SELECT datetime, vt_symbol, {_r('v', 6, 'future_ret_5')} FROM q")
+register("factor_signal", lambda s, d: factors.position_signal(factors.ml_signal(_catalogue(s, d))).select(*KEY, "signal", "target"))
+register("factor_score", lambda s, d: rounded(factors.score(evaluate(views.panel(s, d), {"a": "close / open - 1", "b": "volume / 100"}, keep=KEY), {"a": 3, "b": 1}, 10).select(*KEY, "total_score"), 5, "total_score"),
+         f"WITH {PANEL_SQL}, q AS (SELECT datetime, vt_symbol, 75 * greatest(least(close / open - 1, 1), 0) + 25 * greatest(least(volume / 100, 1), 0) AS v FROM panel) SELECT datetime, vt_symbol, {_r('v', 5, 'total_score')} FROM q WHERE v >= 10")
+register("factor_long_form", lambda s, d: rounded(factors.long_form(factors.momentum(views.panel(s, d)), {"momentum_5": "momentum"}).withColumnsRenamed({"trade_date": "datetime"}), 6, "value"),
+         f"WITH {_FAC} SELECT vt_symbol AS symbol, 'momentum_5' AS factor_name, {_r('CASE WHEN rn >= 6 THEN r5 END', 6)}, datetime FROM f1")
+
+
+def _deals(spark, sf_dir):
+    """Line items as trades: a returned item is a sale."""
+    items = views.table(spark, sf_dir, "lineitem")
+    return items.select(F.col("l_shipdate").alias("datetime"), F.col("l_suppkey").cast("string").alias("vt_symbol"), F.when(F.col("l_returnflag") == "R", "SHORT").otherwise("LONG").alias("direction"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"))
+
+
+def _contracts(bars):
+    return bars.select("vt_symbol").distinct().select("vt_symbol", F.lit(0.0005).alias("long_rate"), F.lit(0.0015).alias("short_rate"), F.lit(1.0).alias("size"))
+
+
+_PNL = ("turnover", "commission", "trading_pnl", "holding_pnl", "total_pnl", "net_pnl")
+
+
+def _daily(spark, sf_dir):
+    bars = views.panel(spark, sf_dir)
+    return backtest.daily_result(bars, _deals(spark, sf_dir), _contracts(bars))
+
+
+_DAY = f"""{PANEL_SQL}, t AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS VARCHAR) AS vt_symbol, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice AS val, l_extendedprice / l_quantity AS p, CASE WHEN l_returnflag = 'R' THEN 0.0015 ELSE 0.0005 END AS rate FROM lineitem),
+  td AS (SELECT date, vt_symbol, count(*) AS n, sum(q) AS q, sum(val) AS turnover, sum(q * p) AS cost, sum(val * rate) AS commission FROM t GROUP BY 1, 2),
+  g AS (SELECT d.date, s.vt_symbol FROM (SELECT DISTINCT date FROM t) d, (SELECT DISTINCT vt_symbol FROM t) s),
+  j AS (SELECT g.date, g.vt_symbol, p.close, coalesce(n, 0) AS n, coalesce(q, 0) AS q, coalesce(td.turnover, 0) AS turnover, coalesce(cost, 0) AS cost, coalesce(commission, 0) AS commission, count(p.close) OVER (PARTITION BY g.vt_symbol ORDER BY g.date ROWS UNBOUNDED PRECEDING) AS k FROM g LEFT JOIN panel p ON g.vt_symbol = p.vt_symbol AND g.date = CAST(p.datetime AS DATE) LEFT JOIN td ON td.date = g.date AND td.vt_symbol = g.vt_symbol),
+  f AS (SELECT *, coalesce(max(close) OVER (PARTITION BY vt_symbol, k), 0) AS c FROM j),
+  e AS (SELECT *, sum(q) OVER (PARTITION BY vt_symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - q AS pos, lag(c) OVER (PARTITION BY vt_symbol ORDER BY date) AS c1 FROM f),
+  day AS (SELECT date, CAST(sum(n) AS BIGINT) AS trade_count, sum(turnover) AS turnover, sum(commission) AS commission, sum(q * c - cost) AS trading_pnl, sum(CASE WHEN c1 > 0 THEN pos * (c - c1) ELSE 0 END) AS holding_pnl FROM e GROUP BY 1)"""
+register("pnl_daily", lambda s, d: rounded(_daily(s, d), 1, *_PNL).withColumn("date", F.col("date").cast("string")), f"WITH {_DAY}, q AS (SELECT *, trading_pnl + holding_pnl AS total_pnl, trading_pnl + holding_pnl - commission AS net_pnl FROM day) SELECT CAST(date AS VARCHAR) AS date, trade_count, {', '.join(_r(c, 1, c) for c in _PNL)} FROM q")
+
+
+def _statistics(spark, sf_dir):
+    df = backtest.statistics(_daily(spark, sf_dir), capital=1e10)
+    return rounded(df, 2, *(n for n, t in df.dtypes if t == "double"))
+
+
+register("bt_statistics", _statistics)
+
+
+def _rotation(spark, sf_dir):
+    bars = evaluate(views.panel(spark, sf_dir), {"signal": "ts_mean(close, 5) / close"})
+    return backtest.run(bars.select(*KEY, "open", "high", "low", "close", "signal"), backtest.Rotation(top=5, drop=1, capital=1e8))
+
+
+register("bt_rotation", lambda s, d: rounded(_rotation(s, d), 3, "price", "volume"))
+register("alpha158_lasso", lambda s, d: rounded(_lasso(s, d), 3, "signal"))
+
+
+def _lasso(spark, sf_dir):
+    data = evaluate(views.panel(spark, sf_dir), {k: _L158[k] for k in ("roc_5", "ma_5", "kmid")} | {"label": alpha158.LABEL}, keep=KEY)
+    return models.Lasso(alpha=0.01).fit(data, ["roc_5", "ma_5", "kmid"]).predict(data)
