@@ -99,4 +99,18 @@ QUERIES = {
     "op10_token_counts": _rollups,
 }
 
-ORACLES: dict[str, str] = {}
+_SHINGLES = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"""
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+#: Brute force in SQL, where SQL has what it takes; tests/llm has brute force for the others.
+ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""
+        WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+        ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM dw), bs AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM iw),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS n_matched FROM ds JOIN bs ON ds.s = bs.s GROUP BY 1, 2)
+        SELECT doc_id, m.item_id, n_matched, n_shingles, n_matched / n_shingles AS containment FROM m JOIN n ON m.item_id = n.item_id WHERE n_matched >= 0.8 * n_shingles""",
+    "op6_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 10""",
+}
