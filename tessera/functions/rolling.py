@@ -6,7 +6,7 @@ are null unless the frame holds n values; the others accept what there is.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
@@ -29,6 +29,14 @@ class Clock:
         """The n rows up to the current one, or up to ``skip`` rows before it."""
         return self.order.rowsBetween(-(n - 1) - skip, -skip)
 
+    def over(self, aggregate: Column, n: int, skip: int = 0) -> Column:
+        """The aggregate over the n rows up to the current one."""
+        return aggregate.over(self.last(n, skip))
+
+    def before(self, x: Column, n: int) -> Column:
+        """The value n rows before; after it where n is negative."""
+        return F.lag(x, n).over(self.order)
+
     @property
     def so_far(self) -> WindowSpec:
         return self.order.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -41,12 +49,33 @@ class Clock:
         return F.row_number().over(self.order).cast("double")
 
 
+@dataclass(frozen=True)
+class Shared(Clock):
+    """A clock that computes equal aggregates once: they become named columns, ``definitions``, and are used by name."""
+
+    definitions: dict[str, Column] = field(default_factory=dict, compare=False)
+    names: dict[tuple, str] = field(default_factory=dict, compare=False)
+    prefix: str = "_w"
+
+    def _named(self, key: tuple, made: Column) -> Column:
+        if key not in self.names:
+            self.names[key] = name = f"{self.prefix}{len(self.names)}"
+            self.definitions[name] = made
+        return F.col(self.names[key])
+
+    def over(self, aggregate: Column, n: int, skip: int = 0) -> Column:
+        return self._named((str(aggregate), n, skip), aggregate.over(self.last(n, skip)))
+
+    def before(self, x: Column, n: int) -> Column:
+        return self._named(("before", str(x), n), F.lag(x, n).over(self.order))
+
+
 def full(c: Clock, x: Column, n: int, out: Column) -> Column:
-    return F.when(F.count(x).over(c.last(n)) == n, out)
+    return F.when(c.over(F.count(x), n) == n, out)
 
 
 def delay(c: Clock, x: Column, n: int) -> Column:
-    return F.lag(x, int(n)).over(c.order) if n else x
+    return c.before(x, int(n)) if n else x
 
 
 def delta(c: Clock, x: Column, n: int) -> Column:
@@ -54,15 +83,15 @@ def delta(c: Clock, x: Column, n: int) -> Column:
 
 
 def lowest(c: Clock, x: Column, n: int) -> Column:
-    return F.min(x).over(c.last(n))
+    return c.over(F.min(x), n)
 
 
 def highest(c: Clock, x: Column, n: int) -> Column:
-    return F.max(x).over(c.last(n))
+    return c.over(F.max(x), n)
 
 
 def values(c: Clock, x: Column, n: int) -> Column:
-    return F.collect_list(x).over(c.last(n))
+    return c.over(F.collect_list(x), n)
 
 
 def argmax(c: Clock, x: Column, n: int) -> Column:
@@ -84,25 +113,24 @@ def rank(c: Clock, x: Column, n: int) -> Column:
 
 
 def total(c: Clock, x: Column, n: int) -> Column:
-    return full(c, x, n, F.sum(x).over(c.last(n)))
+    return full(c, x, n, c.over(F.sum(x), n))
 
 
 def mean(c: Clock, x: Column, n: int) -> Column:
     """Mean without NaN; NaN if all values are NaN."""
-    out = F.avg(N.present(x)).over(c.last(n))
-    return F.when(out.isNull() & (F.count(x).over(c.last(n)) > 0), N.nan()).otherwise(out)
+    out = c.over(F.avg(N.present(x)), n)
+    return F.when(out.isNull() & (c.over(F.count(x), n) > 0), N.nan()).otherwise(out)
 
 
 def std(c: Clock, x: Column, n: int) -> Column:
     """Population standard deviation without NaN; NaN if all values are NaN."""
-    out = F.stddev_pop(N.present(x)).over(c.last(n))
-    return F.when(out.isNull() & (F.count(x).over(c.last(n)) > 0), N.nan()).otherwise(out)
+    out = c.over(F.stddev_pop(N.present(x)), n)
+    return F.when(out.isNull() & (c.over(F.count(x), n) > 0), N.nan()).otherwise(out)
 
 
 def _line(c: Clock, x: Column, n: int) -> tuple[Column, Column, Column]:
     """Sum of x, sum of (row number * x), and the row number of the frame's oldest row."""
-    frame = c.last(n)
-    return F.sum(x).over(frame), F.sum(c.row() * x).over(frame), c.row() - (n - 1)
+    return c.over(F.sum(x), n), c.over(F.sum(c.row() * x), n), c.row() - (n - 1)
 
 
 def slope(c: Clock, x: Column, n: int) -> Column:
@@ -114,26 +142,25 @@ def slope(c: Clock, x: Column, n: int) -> Column:
 def rsquare(c: Clock, x: Column, n: int) -> Column:
     """Share of the variance that the line explains; null where it is not defined; full."""
     b = slope(c, x, n)
-    spread = F.var_pop(x).over(c.last(n))
+    spread = c.over(F.var_pop(x), n)
     return full(c, x, n, N.finite(N.div(b * b * ((n * n - 1) / 12), spread)))
 
 
 def resi(c: Clock, x: Column, n: int) -> Column:
     """The last value less the line's last value; full."""
-    return full(c, x, n, x - (F.avg(x).over(c.last(n)) + slope(c, x, n) * ((n - 1) / 2)))
+    return full(c, x, n, x - (c.over(F.avg(x), n) + slope(c, x, n) * ((n - 1) / 2)))
 
 
 def quantile(c: Clock, x: Column, n: int, q: float) -> Column:
     """Quantile by linear interpolation; full."""
-    return full(c, x, n, F.percentile(x, F.lit(float(q))).over(c.last(n)))
+    return full(c, x, n, c.over(F.percentile(x, F.lit(float(q))), n))
 
 
 def corr(c: Clock, x: Column, y: Column, n: int) -> Column:
     """Pearson correlation of the rows that have both; NaN where a side is constant, null where infinite."""
-    frame = c.last(n)
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    out = N.div(F.covar_pop(x, y).over(frame), F.stddev_pop(x).over(frame) * F.stddev_pop(y).over(frame))
+    out = N.div(c.over(F.covar_pop(x, y), n), c.over(F.stddev_pop(x), n) * c.over(F.stddev_pop(y), n))
     return F.when(F.abs(out) == F.lit(float("inf")), F.lit(None).cast("double")).otherwise(out)
 
 
@@ -150,4 +177,4 @@ def decay(c: Clock, x: Column, n: int, newest_first: bool = False) -> Column:
 
 
 def product(c: Clock, x: Column, n: int) -> Column:
-    return full(c, x, n, F.product(x).over(c.last(n)))
+    return full(c, x, n, c.over(F.product(x), n))

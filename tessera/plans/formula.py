@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cross, rolling, smoothing
 from tessera.functions import numeric as N
-from tessera.functions.rolling import Clock
+from tessera.functions.rolling import Clock, Shared
 from tessera.plans.scratch import settle
 
 
@@ -230,8 +230,13 @@ def evaluate(panel: DataFrame, formulas: Mapping[str, str | Column], clock: Cloc
         if mode == "fold":
             df = _folded(df, [(new[n], FUNCTIONS[n.op][1], arguments[n], constants(n)) for n in now], clock)
         else:
-            first = clock if mode == "ts" else clock.time
-            df = df.select("*", *(FUNCTIONS[n.op][1](first, *arguments[n], *constants(n)).alias(new[n]) for n in now))
+            shared = Shared(clock.symbol, clock.time, clock.position)
+            first = shared if mode == "ts" else clock.time
+            made = [FUNCTIONS[n.op][1](first, *arguments[n], *constants(n)).alias(new[n]) for n in now]
+            before = df.columns
+            if shared.definitions:
+                df = df.select("*", *(c.alias(name) for name, c in shared.definitions.items()))
+            df = df.select(*(f"`{c}`" for c in before), *made)
             depth += 1 if mode == "ts" else 1 + sum(n.op == "cs_rank" for n in now)  # each rank has an order of its own
         have |= new
         waiting = [n for n in waiting if n not in new]
