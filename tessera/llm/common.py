@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -112,14 +113,13 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) ->
     ``keyed(key long, id long, fp long)`` has one row for each node and key; ``fp`` depends on ``id`` alone.
     ``verify``, if given, takes candidate pairs ``(a, b)`` and returns those that hold.
 
-    All links count, yet a group of g nodes never yields g*g pairs. First each node is tried against its group's
-    leader and the ``reach`` nodes before it in fingerprint order, which is linear, joins most of a crowded group, and
-    covers all pairs of a group of up to three, or ``reach + 1``. Of larger groups, only nodes outside the group's largest component so far are then
-    compared with the nodes of other components; pairs inside one component cannot change the result. Nodes without a link are absent from the result.
+    All links count, yet a group of g nodes never yields g*g pairs. First each node is tried against its group's leader
+    and the ``reach`` nodes before it in fingerprint order, which is linear, joins most of a crowded group, and covers
+    all pairs of a group of up to three, or ``reach + 1``. Larger groups get a second linear pass with more neighbours.
+    Of these, only nodes outside the group's largest component so far are then compared with the nodes of other
+    components; pairs inside one component cannot change the result. Nodes without a link are absent from the result.
     """
     verify = verify or (lambda pairs: pairs)
-    from pyspark.sql import Window as W
-
     in_key = W.partitionBy("key").orderBy("fp", "id")
     node = F.struct("id", "fp")
     others = {"lead": F.first(node).over(in_key.rowsBetween(W.unboundedPreceding, W.currentRow))}

@@ -18,6 +18,8 @@ from tessera.llm.common import take
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes svg math object select button canvas audio video".split())
+#: Those that run to the end of the page if they are not closed.
+TO_THE_END = frozenset("script style textarea title xmp noscript".split())
 CHROME = frozenset("nav header footer aside form menu dialog search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond disqus newsletter subscribe signup login share sharing social related recommended widget toolbar".split())
@@ -90,7 +92,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool, bool]]:
         if tag in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+                at = end.end() if end else size if tag in TO_THE_END else at
             continue
         if tag == "br":
             text.append(" ")
