@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import stats
 from tessera.operators import backtest, factors, indicators, models, processors, relational, resample
 from tessera.plans import alpha101, alpha158
 from tessera.plans.formula import evaluate
@@ -366,6 +367,40 @@ for _name, _spec in (("cci", ("cci", 14)), ("ultosc", ("ultosc", 7, 14, 28)), ("
                      ("minus_dm", ("minus_dm", 14)), ("plus_dm", ("plus_dm", 14)), ("keltner", ("keltner", 14, 2.0)), ("adosc", ("adosc", 3, 10)), ("stoch", ("stoch", 9, 3, 0, 3, 0)), ("sar", ("sar", 0.02, 0.2))):
     indicator(_name, _spec, 4)
 
+_IND = f"{PANEL_SQL}, p1 AS (SELECT *, (high + low + close) / 3 AS tp, row_number() OVER o AS rn, lag(close, 1) OVER o AS c1, lag((high + low + close) / 3, 1) OVER o AS tp1 FROM panel WINDOW o AS (PARTITION BY vt_symbol ORDER BY datetime))"
+_NEAR = "JOIN p1 b ON a.vt_symbol = b.vt_symbol AND b.rn BETWEEN a.rn - {} AND a.rn"
+ORACLES["ind_cci"] = f"""WITH {_IND}, m AS (SELECT *, avg(tp) OVER w AS mid FROM p1 WINDOW w AS {_ROWS.format(13)}), q AS (
+  SELECT a.datetime, a.vt_symbol, CASE WHEN count(*) = 14 THEN CASE WHEN avg(abs(b.tp - a.mid)) = 0 THEN 0 ELSE (any_value(a.tp) - any_value(a.mid)) / (0.015 * avg(abs(b.tp - a.mid))) END END AS value FROM m a {_NEAR.format(13)} GROUP BY 1, 2)
+  SELECT datetime, vt_symbol, {_r('value', 4)} FROM q"""
+ORACLES["ind_mfi"] = f"""WITH {_IND}, f AS (SELECT *, CASE WHEN tp1 IS NOT NULL THEN CASE WHEN tp > tp1 THEN tp * volume ELSE 0 END END AS up, CASE WHEN tp1 IS NOT NULL THEN CASE WHEN tp < tp1 THEN tp * volume ELSE 0 END END AS down FROM p1),
+  q AS (SELECT datetime, vt_symbol, CASE WHEN count(up) OVER w = 14 THEN CASE WHEN sum(up + down) OVER w = 0 THEN 0 ELSE sum(up) OVER w * 100 / sum(up + down) OVER w END END AS value FROM f WINDOW w AS {_ROWS.format(13)}) SELECT datetime, vt_symbol, {_r('value', 4)} FROM q"""
+_BP = ", ".join(f"sum(bp) OVER w{n} AS b{n}, sum(tr) OVER w{n} AS t{n}, count(bp) OVER w{n} AS n{n}" for n in (7, 14, 28))
+ORACLES["ind_ultosc"] = f"""WITH {_IND}, f AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN close - least(low, c1) END AS bp, CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr FROM p1),
+  g AS (SELECT datetime, vt_symbol, {_BP} FROM f WINDOW {', '.join(f'w{n} AS {_ROWS.format(n - 1)}' for n in (7, 14, 28))}),
+  q AS (SELECT datetime, vt_symbol, CASE WHEN n28 = 28 THEN (4 * CASE WHEN t7 = 0 THEN 0 ELSE b7 / t7 END + 2 * CASE WHEN t14 = 0 THEN 0 ELSE b14 / t14 END + CASE WHEN t28 = 0 THEN 0 ELSE b28 / t28 END) * 100 / 7 END AS value FROM g) SELECT datetime, vt_symbol, {_r('value', 4)} FROM q"""
+_AROON = f"""{_IND}, e AS (SELECT *, max(high) OVER w AS hh, min(low) OVER w AS ll FROM p1 WINDOW w AS {_ROWS.format(14)}), ar AS (
+  SELECT a.datetime, a.vt_symbol, CASE WHEN count(*) = 15 THEN (14 - (any_value(a.rn) - max(b.rn) FILTER (WHERE b.high = a.hh))) * 100.0 / 14 END AS up, CASE WHEN count(*) = 15 THEN (14 - (any_value(a.rn) - max(b.rn) FILTER (WHERE b.low = a.ll))) * 100.0 / 14 END AS down FROM e a {_NEAR.format(14)} GROUP BY 1, 2)"""
+ORACLES["ind_aroon"] = f"WITH {_AROON} SELECT datetime, vt_symbol, {_r('up', 4, 'value_up')}, {_r('down', 4, 'value_down')} FROM ar"
+ORACLES["ind_aroonosc"] = f"WITH {_AROON} SELECT datetime, vt_symbol, {_r('up - down', 4)} FROM ar"
+for _name, _text in (("ta_rsi", "ta_rsi(close, 14)"), ("ta_atr", "ta_atr(high, low, close, 14)")):
+    register(_name, lambda s, d, f=_text: rounded(evaluate(views.panel(s, d), {"value": f}, keep=KEY), 4, "value"))
+
+
+def _window_stats(spark, sf_dir):
+    """Statistics of each symbol's last twenty closes and volumes, as arrays."""
+    kept = relational.last_n(views.panel(spark, sf_dir), 20)
+    pairs = kept.groupBy("vt_symbol").agg(F.array_sort(F.collect_list(F.struct("datetime", "close", "volume"))).alias("r"))
+    x, y = F.col("r.close"), F.col("r.volume")
+    out = pairs.select("vt_symbol", stats.mean(x).alias("mean"), stats.variance(x, 1).alias("variance"), stats.covariance(x, y).alias("covariance"), stats.correlation(x, y).alias("correlation"), stats.linear_slope(x).alias("slope"), stats.percentile(x, 0.3).alias("p30"), stats.latest_z_score(x).alias("z"), stats.momentum(x, 5).alias("momentum"), stats.volatility(x).alias("volatility"))
+    return rounded(rounded(out, 2, "mean", "variance", "covariance", "slope", "p30"), 5, "correlation", "z", "momentum", "volatility")
+
+
+register("array_statistics", _window_stats, f"""WITH {PANEL_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime DESC) AS back, CAST(row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime) AS DOUBLE) AS rn, count(*) OVER (PARTITION BY vt_symbol) AS c FROM panel),
+  k AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY vt_symbol ORDER BY datetime), 0) - 1 AS r FROM n WHERE back <= 20 AND c >= 20),
+  q AS (SELECT vt_symbol, avg(close) AS mean, var_samp(close) AS variance, covar_pop(close, volume) AS covariance, covar_pop(close, volume) / (stddev_pop(close) * stddev_pop(volume)) AS correlation, regr_slope(close, rn) AS slope, quantile_cont(close, 0.3) AS p30,
+    (max(CASE WHEN back = 1 THEN close END) - avg(close)) / stddev_pop(close) AS z, max(CASE WHEN back = 1 THEN close END) / max(CASE WHEN back = 6 THEN close END) - 1 AS momentum, stddev_pop(r) AS volatility FROM k GROUP BY 1)
+  SELECT vt_symbol, {', '.join(_r(c, 2, c) for c in ('mean', 'variance', 'covariance', 'slope', 'p30'))}, {', '.join(_r(c, 5, c) for c in ('correlation', 'z', 'momentum', 'volatility'))} FROM q""")
+
 # Factors, signals, accounts.
 
 
