@@ -137,7 +137,7 @@ def log_return(now: Column, before: Column, default: float = 0.0) -> Column:
 
 def _steps(xs: Column, of) -> Column:
     c = clean(xs)
-    return F.when(F.size(c) > 1, F.zip_with(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))), of)).otherwise(F.array().cast("array<double>"))
+    return F.when(F.size(c) > 1, F.zip_with(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))), lambda now, before: of(now, before))).otherwise(F.array().cast("array<double>"))
 
 
 def pct_returns(xs: Column) -> Column:
