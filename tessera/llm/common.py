@@ -107,9 +107,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 CROWD_REACH = 15
 
 
-def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) -> DataFrame:
+def link_groups(keyed: DataFrame, max_bits, verify=None, reach: int = 1) -> DataFrame:
     """Components ``(id, component)`` of nodes that share a key and differ in at most ``max_bits`` fingerprint bits.
 
+    ``max_bits`` may instead be a function of two fingerprint columns that says which pairs are worth a look.
+
     ``keyed(key long, id long, fp long)`` has one row for each node and key; ``fp`` depends on ``id`` alone.
     ``verify``, if given, takes candidate pairs ``(a, b)`` and returns those that hold.
 
@@ -120,13 +122,14 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) ->
     components; pairs inside one component cannot change the result. Nodes without a link are absent from the result.
     """
     verify = verify or (lambda pairs: pairs)
+    alike = max_bits if callable(max_bits) else lambda a, b: hamming(a, b) <= max_bits
     in_key = W.partitionBy("key").orderBy("fp", "id")
     node = F.struct("id", "fp")
     others = {"lead": F.first(node).over(in_key.rowsBetween(W.unboundedPreceding, W.currentRow))}
     others |= {f"prev{i}": F.lag(node, i).over(in_key) for i in range(1, reach + 1)}
     in_all = F.count(F.lit(1)).over(in_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     tried = keyed.select("key", "id", "fp", (in_all > max(3, reach + 1)).alias("many"), *(c.alias(n) for n, c in others.items()))
-    near = lambda c: F.when((F.col(f"{c}.id") != F.col("id")) & (hamming(F.col(f"{c}.fp"), F.col("fp")) <= max_bits), F.col(f"{c}.id"))
+    near = lambda c: F.when((F.col(f"{c}.id") != F.col("id")) & alike(F.col(f"{c}.fp"), F.col("fp")), F.col(f"{c}.id"))
     tried = tried.select("key", "id", "fp", "many", F.array_compact(F.array(*map(near, others))).alias("to"))
     tried = settle(tried.where("many or size(to) > 0"), "tried")
     crowd = tried.where("many").select("key", "id", "fp")
@@ -138,7 +141,7 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) ->
     # Crowded keys once more, against more neighbours of other components: most of what the cross phase would find pair by pair.
     placed = crowd.join(found, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part"))
     beside = placed.select("id", "fp", "part", *(F.lag(F.struct("id", "fp", "part"), i).over(in_key).alias(f"prev{i}") for i in range(1, CROWD_REACH + 1)))
-    close = lambda c: F.when((F.col(f"{c}.part") != F.col("part")) & (hamming(F.col(f"{c}.fp"), F.col("fp")) <= max_bits), F.col(f"{c}.id"))
+    close = lambda c: F.when((F.col(f"{c}.part") != F.col("part")) & alike(F.col(f"{c}.fp"), F.col("fp")), F.col(f"{c}.id"))
     beside = beside.select("id", F.explode(F.array_compact(F.array(*(close(f"prev{i}") for i in range(1, CROWD_REACH + 1))))).alias("other"))
     again = settle(verify(beside.select(*pair(F.col("id"), F.col("other"))).distinct()), "links")
     if not again.isEmpty():
@@ -148,7 +151,7 @@ def link_groups(keyed: DataFrame, max_bits: int, verify=None, reach: int = 1) ->
     mixed = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     placed = settle(placed.join(mixed, "key"), "mixed")
     odd = placed.where("part <> main").select("key", F.col("id").alias("id2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"))
-    far = odd.join(placed, "key").where((F.col("part") != F.col("part2")) & (hamming(F.col("fp"), F.col("fp2")) <= max_bits))
+    far = odd.join(placed, "key").where((F.col("part") != F.col("part2")) & alike(F.col("fp"), F.col("fp2")))
     more = settle(verify(far.select(*pair(F.col("id"), F.col("id2"))).distinct()), "links")
     discard(tried)
     if more.isEmpty():

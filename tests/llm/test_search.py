@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import topk
 from tessera.llm.decontaminate import contaminated, drop_contaminated
-from tessera.llm.line_dedup import block_keys, dedup_lines, line_groups, classes, strip_lines
+from tessera.llm.line_dedup import block_keys, dedup_lines, line_groups, classes, repeats, similar_groups, strip_lines
 
 
 def plain_top(vectors, k, queries):
@@ -161,3 +161,51 @@ def test_long_lines(spark, documents):
     other[7] = "changed"
     out = dedup_lines(documents([" ".join(line), " ".join(other)])).orderBy("doc_id").collect()
     assert out[0]["n_removed"] == 0 and out[1]["n_removed"] == 1
+
+
+def similar(lines, found):
+    """Components by brute force: the words' edit similarity alone, no fingerprints."""
+    text = {i: "".join(c if c.isalnum() else " " for c in lines[at].lower()).split() for i, at in found}
+    parent = {i: i for i in text}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in text:
+        for b in text:
+            if a < b and edit(text[a], text[b]) <= 0.2 * max(len(text[a]), len(text[b])) + 1e-9:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {(i, find(i)) for i in parent if find(i) != i or any(find(j) == i for j in parent if j != i)}
+
+
+def test_line_dedup_finds_all_similar_lines(spark, documents):
+    rng = random.Random(12)
+    vocab = [f"word{i}" for i in range(900)] + ["of", "the", "a", "to"] * 60
+    lines = []
+    for n in [4, 5, 6, 9, 10, 14, 15, 25, 60, 110]:
+        for _ in range(4):
+            w = words(rng, n, vocab)
+            lines.append(" ".join(w))
+            for share in (0.0, 0.1, 0.2, 0.21):
+                v = w[:]
+                for at in sorted(rng.sample(range(n), max(1, int(n * share))), reverse=True):
+                    kind = rng.randrange(3)
+                    v[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice(vocab)]
+                lines.append(" ".join(v))
+    lines += [" ".join(["is", "on"] * k) for k in range(2, 30)]
+    docs = documents(lines)
+    found = repeats(docs)
+    expected = similar(lines, [(r["id"], r["first"]["doc_id"]) for r in found.collect()])
+    assert {tuple(r) for r in similar_groups(docs, found).collect()} == expected and len(expected) > 100
+
+
+def test_line_dedup_links_at_the_stated_similarity(spark, documents):
+    rng = random.Random(13)
+    lines = [" ".join(words(rng, n, [f"word{i}" for i in range(900)])) for n in (10, 30, 100)]
+    near = [" ".join(f"other{i}" if i % 5 == 2 else w for i, w in enumerate(line.split())) for line in lines]
+    far = [" ".join(f"third{i}" if i % 5 == 2 or i == 0 else w for i, w in enumerate(line.split())) for line in lines]
+    out = dedup_lines(documents(lines + near + far)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0] * 3 + [1] * 3 + [0] * 3
