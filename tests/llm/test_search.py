@@ -209,3 +209,10 @@ def test_line_dedup_links_at_the_stated_similarity(spark, documents):
     far = [" ".join(f"third{i}" if i % 5 == 2 or i == 0 else w for i, w in enumerate(line.split())) for line in lines]
     out = dedup_lines(documents(lines + near + far)).orderBy("doc_id").collect()
     assert [r["n_removed"] for r in out] == [0] * 3 + [1] * 3 + [0] * 3
+
+
+def test_line_dedup_ignores_punctuation_and_white_space(spark, documents):
+    line = "one, two. three \"four\" five; six"
+    docs = [line, "one two\tthree  four five six\r", " One Two (three) four - five six!", "x\ty", "x y\r", "* * * * *", "* * * * * *", "*\t* * * *\r", "\t\r", "\t\r", "kát", "kat"]
+    out = dedup_lines(documents(docs)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0, 1, 1, 0, 1, 0, 0, 1, 0, 0, 0, 0]
