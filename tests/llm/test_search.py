@@ -216,3 +216,9 @@ def test_line_dedup_ignores_punctuation_and_white_space(spark, documents):
     docs = [line, "one two\tthree  four five six\r", " One Two (three) four - five six!", "x\ty", "x y\r", "* * * * *", "* * * * * *", "*\t* * * *\r", "\t\r", "\t\r", "kát", "kat"]
     out = dedup_lines(documents(docs)).orderBy("doc_id").collect()
     assert [r["n_removed"] for r in out] == [0, 1, 1, 0, 1, 0, 0, 1, 0, 0, 0, 0]
+
+
+def test_line_dedup_takes_lines_of_short_words_and_without_spaces(spark, documents):
+    docs = ["it is as it was in it", "it is as it was on it", "1 2 3 4 5 6 7 8 9 10", "1 2 3 4 5 6 7 8 9 11", "今天天气很好我们去公园", "今天天气很好我们去学园", "สวัสดีครับทุกคน", "สวัสดีครับทุกค่น", "a b c", "a b d", "a b c d", "a b c d e"]
+    out = dedup_lines(documents(docs)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0, 1, 0, 1, 0, 1, 0, 1, 0, 0, 0, 1]
