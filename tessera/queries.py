@@ -328,6 +328,8 @@ register("bars_15_minutes", lambda s, d: rounded(resample.longer_bars(_minutes(s
          f"WITH {_M1}, n AS (SELECT *, row_number() OVER (ORDER BY datetime) AS k FROM m), q AS (SELECT vt_symbol, time_bucket(INTERVAL '15 minutes', datetime) AS datetime, {_OHLC.format(o='open', h='high', l='low', c='close')}, sum(volume) AS volume, CAST(sum(n_ticks) AS BIGINT) AS n_ticks FROM n GROUP BY 1, 2) SELECT vt_symbol, datetime, {_BARS}, n_ticks FROM q")
 register("bars_ffill", lambda s, d: rounded(resample.fill_bars(views.panel(s, d).where("cast(vt_symbol as int) <= 20").select("datetime", "vt_symbol", *_BAR)), 4, *_BAR),
          f"WITH {PANEL_SQL}, p AS (SELECT * FROM panel WHERE CAST(vt_symbol AS INT) <= 20), g AS (SELECT s.vt_symbol, t.datetime FROM (SELECT vt_symbol, min(datetime) AS f FROM p GROUP BY 1) s JOIN (SELECT DISTINCT datetime FROM p) t ON t.datetime >= s.f), j AS (SELECT g.vt_symbol, g.datetime, p.open, p.high, p.low, p.close, p.volume, count(p.close) OVER (PARTITION BY g.vt_symbol ORDER BY g.datetime ROWS UNBOUNDED PRECEDING) AS n FROM g LEFT JOIN p ON g.vt_symbol = p.vt_symbol AND g.datetime = p.datetime), q AS (SELECT vt_symbol, datetime, close IS NULL AS filled, coalesce(open, l) AS open, coalesce(high, l) AS high, coalesce(low, l) AS low, coalesce(close, l) AS close, coalesce(volume, 0) AS volume FROM (SELECT *, max(close) OVER (PARTITION BY vt_symbol, n) AS l FROM j) t) SELECT vt_symbol, datetime, {_BARS}, filled FROM q")
+#: The whole panel; ``bars_ffill`` and its SQL take twenty symbols.
+register("bars_ffill_all", lambda s, d: rounded(resample.fill_bars(views.panel(s, d).select("datetime", "vt_symbol", *_BAR)), 4, *_BAR))
 
 # Indicators.
 

@@ -197,3 +197,16 @@ def test_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_text("date,close\n2024-01-01,1\n")
     with pytest.raises(ValueError, match="vt_symbol"):
         read_bar_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_whole_panel_is_filled(spark):
+    from tessera.queries import QUERIES
+    from tessera.sources import views
+
+    d = "/root/testdata/sf0.01"
+    closes = views.panel(spark, d).select("datetime", "vt_symbol", "close").toPandas().pivot(index="datetime", columns="vt_symbol", values="close").sort_index()
+    assert closes.shape[1] > 20
+    held = closes.ffill().stack().dropna()
+    out = QUERIES["bars_ffill_all"](spark, d).select("datetime", "vt_symbol", "close", "filled").toPandas().set_index(["datetime", "vt_symbol"]).sort_index()
+    assert len(out) == len(held) and (out["close"].astype(float) - held.reindex(out.index)).abs().max() < 1e-3
+    assert int((~out["filled"]).sum()) == int(closes.notna().sum().sum())
