@@ -79,6 +79,12 @@ def close_matrix(panel: DataFrame, symbols: Sequence[str], value: str = "close")
     return panel.groupBy("datetime").pivot("vt_symbol", list(symbols)).agg(F.first(value))
 
 
+def close_maps(panel: DataFrame, value: str = "close") -> DataFrame:
+    """``(datetime, symbols, values)``: a row for each date, all symbols that it has, in order, and their values."""
+    rows = panel.groupBy("datetime").agg(F.array_sort(F.collect_list(F.struct("vt_symbol", F.col(value).alias("value")))).alias("rows"))
+    return rows.select("datetime", F.col("rows.vt_symbol").alias("symbols"), F.col("rows.value").alias("values"))
+
+
 def forward_return(periods: int, price: str = "close") -> Column:
     """The return from a row to ``periods`` rows later in its symbol."""
     later = F.lead(price, periods).over(W.partitionBy("vt_symbol").orderBy("datetime"))

@@ -298,6 +298,8 @@ register("factor_merge", lambda s, d: rounded(evaluate(views.panel(s, d), {"f1":
 register("overview", lambda s, d: relational.overview(views.panel(s, d)), f'WITH {PANEL_SQL} SELECT vt_symbol, count(*) AS count, min(datetime) AS start, max(datetime) AS "end" FROM panel GROUP BY 1')
 register("pivot_close", lambda s, d: rounded(relational.close_matrix(views.panel(s, d), ["1", "2", "3"]).select("datetime", *(F.col(f"`{i}`").alias(f"s{i}") for i in (1, 2, 3))), 4, "s1", "s2", "s3"),
          f"WITH {PANEL_SQL}, q AS (SELECT datetime, {', '.join(f'''max(CASE WHEN vt_symbol = '{i}' THEN close END) AS s{i}''' for i in (1, 2, 3))} FROM panel GROUP BY 1) SELECT datetime, {', '.join(_r(f's{i}', 4, f's{i}') for i in (1, 2, 3))} FROM q")
+#: Every symbol; ``pivot_close`` and its SQL take three.
+register("pivot_close_all", lambda s, d: relational.close_maps(views.panel(s, d)))
 register("last_n_bars", lambda s, d: rounded(relational.last_n(views.panel(s, d).select("datetime", "vt_symbol", "close"), 20), 4, "close"),
          f"WITH {PANEL_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime DESC) AS n, count(*) OVER (PARTITION BY vt_symbol) AS c FROM panel) SELECT datetime, vt_symbol, {_r('close', 4, 'close')} FROM q WHERE n <= 20 AND c >= 20")
 register("time_range", lambda s, d: rounded(relational.padded_range(views.panel(s, d).select("datetime", "vt_symbol", "close"), "1996-03-01", "1996-04-30", 30), 4, "close"),

@@ -210,3 +210,13 @@ def test_whole_panel_is_filled(spark):
     out = QUERIES["bars_ffill_all"](spark, d).select("datetime", "vt_symbol", "close", "filled").toPandas().set_index(["datetime", "vt_symbol"]).sort_index()
     assert len(out) == len(held) and (out["close"].astype(float) - held.reindex(out.index)).abs().max() < 1e-3
     assert int((~out["filled"]).sum()) == int(closes.notna().sum().sum())
+
+
+def test_close_matrix_of_every_symbol(spark):
+    from tessera.queries import QUERIES
+    from tessera.sources import views
+
+    d = "/root/testdata/sf0.01"
+    expected = {(r["datetime"], r["vt_symbol"]): r["close"] for r in views.panel(spark, d).collect()}
+    out = [(r["datetime"], s, v) for r in QUERIES["pivot_close_all"](spark, d).collect() for s, v in zip(r["symbols"], r["values"], strict=True)]
+    assert len(out) == len(expected) and all(expected[t, s] == v for t, s, v in out) and len({s for _, s, _ in out}) > 3
