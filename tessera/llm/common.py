@@ -20,15 +20,22 @@ def take(df: DataFrame, **wanted: str) -> DataFrame:
     Columns are found by position, an exact spelling first, so extra columns whose names clash with the
     wanted ones (also by case) or with an operator's own output do no harm.
     """
-    names = df.columns
-    placed = df.toDF(*[f"_in{i}" for i in range(len(names))])
-    out = []
-    for new, old in wanted.items():
-        same = [i for i, n in enumerate(names) if n == old] or [i for i, n in enumerate(names) if n.lower() == old.lower()]
-        if not same:
-            raise ValueError(f"no column {old!r} among {names}")
-        out.append(F.col(f"_in{same[0]}").alias(new))
-    return placed.select(*out)
+    placed = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+    return placed.select(*(F.col(f"_in{place(df.columns, old)}").alias(new) for new, old in wanted.items()))
+
+
+def place(names: list[str], wanted: str) -> int:
+    """Position of a column, an exact spelling first, else one that differs by case alone."""
+    same = [i for i, n in enumerate(names) if n == wanted] or [i for i, n in enumerate(names) if n.lower() == wanted.lower()]
+    if not same:
+        raise ValueError(f"no column {wanted!r} among {names}")
+    return same[0]
+
+
+def small(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, or ``weight`` sums to no more; as it is otherwise."""
+    size = df.agg(F.sum(weight) if weight is not None else F.count(F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if size <= rows else df
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -1,5 +1,7 @@
+import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import topk
 from tessera.llm.decontaminate import contaminated, drop_contaminated
-from tessera.llm.line_dedup import block_keys, dedup_lines, line_groups, classes, repeats, similar_groups, strip_lines
+from tessera.llm.line_dedup import dedup_lines, marked, repeats, similar_groups, strip_lines, told_apart
 
 
 def plain_top(vectors, k, queries):
@@ -90,53 +92,6 @@ def edit(a, b):
     return row[-1]
 
 
-def test_line_groups_match_brute_force(spark, documents):
-    rng = random.Random(11)
-    vocab = [f"word{i}" for i in range(900)] + ["of", "the", "a"]
-    base = [words(rng, rng.choice([5, 12, 40, 120]), vocab) for _ in range(40)]
-    lines = [" ".join(w) for w in base]
-    for w in base[:30]:
-        for _ in range(3):
-            w = w[:]
-            for _ in range(rng.choice([1, 1, 2])):
-                w[rng.randrange(len(w))] = rng.choice(vocab)
-            lines.append(" ".join(w))
-    docs = documents(lines)
-    found = classes(docs).toPandas()
-    long = found[found.n_words >= 4].reset_index(drop=True)
-    text = {r["id"]: lines[r["first"]["doc_id"]].split() for r in classes(docs).collect()}
-    parent = {i: i for i in long.id}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(long)):
-        for j in range(i):
-            a, b = int(long.id[i]), int(long.id[j])
-            if (int(long.fp[i]) ^ int(long.fp[j])) & (1 << 64) - 1 and ((int(long.fp[i]) ^ int(long.fp[j])) & (1 << 64) - 1).bit_count() > 3:
-                continue
-            if edit(text[a], text[b]) <= 0.2 * max(len(text[a]), len(text[b])) + 1e-9:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    expected = {(i, find(i)) for i in parent if find(i) != i or any(find(j) == i for j in parent if j != i)}
-    assert {tuple(r) for r in line_groups(docs, classes(docs)).collect()} == expected and expected
-
-
-def test_blocks_meet_within_three_bits(spark):
-    rng = random.Random(2)
-    pairs = []
-    for i in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 3):
-            b ^= 1 << bit
-        pairs.append((i, a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b))
-    df = spark.createDataFrame(pairs, "i int, a long, b long")
-    assert df.where(F.arrays_overlap(block_keys(F.col("a")), block_keys(F.col("b")))).count() == 300
-
-
 def test_line_dedup_keeps_first_occurrences(spark, documents):
     long = "a license line with quite some different words about copying software under terms"
     docs = [f"Title one\n{long}\n\nbody of one", f"title two\n  {long.upper()}  \n---\nbody of two", f"{long.replace('quite', 'rather')}\nunique\nunique\nUnique", None, "", "\n\n", f"Title one\n{long}\n\nbody of one"]
@@ -197,9 +152,40 @@ def test_line_dedup_finds_all_similar_lines(spark, documents):
                 lines.append(" ".join(v))
     lines += [" ".join(["is", "on"] * k) for k in range(2, 30)]
     docs = documents(lines)
-    found = repeats(docs)
+    said = marked(docs)
+    found = repeats(said)
     expected = similar(lines, [(r["id"], r["first"]["doc_id"]) for r in found.collect()])
-    assert {tuple(r) for r in similar_groups(docs, found).collect()} == expected and len(expected) > 100
+    assert {tuple(r) for r in similar_groups(docs, said, found).collect()} == expected and len(expected) > 100
+
+
+def test_line_dedup_recall_over_whole_table(spark):
+    """All pairs by edit similarity alone (those of lines that share no two neighbouring words aside) against groups found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    said = marked(docs)
+    found = repeats(said)
+    text = {(r["doc_id"], i): x for r in docs.collect() for i, x in enumerate((r["text"] or "").split("\n"))}
+    lines = {r["id"]: re.findall(r"[^\W_]+", text[r["first"]["doc_id"], r["first"]["pos"]].lower()) for r in found.collect()}
+    group = {r["id"]: r["component"] for r in similar_groups(docs, said, found).collect()}
+    having = collections.defaultdict(set)
+    for i, w in lines.items():
+        for two in zip(w, w[1:]):
+            having[two].add(i)
+    pairs = {(a, b) for ids in having.values() if len(ids) <= 300 for a in ids for b in ids if a < b and abs(len(lines[a]) - len(lines[b])) <= 0.2 * max(len(lines[a]), len(lines[b]))}
+    recall = collections.defaultdict(list)
+    for a, b in pairs:
+        x, y = lines[a], lines[b]
+        most = int(0.2 * max(len(x), len(y)) + 1e-9)
+        if sum((collections.Counter(x) & collections.Counter(y)).values()) >= max(len(x), len(y)) - most and edit(x, y) <= most:
+            recall[min(60, len(x) // 20 * 20)].append(a in group and group[a] == group.get(b))
+    print({n: (sum(v), len(v)) for n, v in sorted(recall.items())})
+    every = [x for v in recall.values() for x in v]
+    assert len(every) > 300 and sum(every) >= 0.99 * len(every)
+
+
+def test_lines_of_one_hash_are_told_apart(spark):
+    said = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 7)], "id long, check long")
+    ids = [r["id"] for r in told_apart(said).orderBy("check").collect()]
+    assert ids[0] == ids[1] != ids[2] and ids[3] == 2 and told_apart(said.where("check <> 6")).where("id = 1").count() == 2
 
 
 def test_line_dedup_links_at_the_stated_similarity(spark, documents):
