@@ -84,30 +84,32 @@ def hamming(a: Column, b: Column) -> Column:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: a row ``(id, component)`` for each node, component being its smallest id.
 
-    Large-star and small-star rounds: each node hands its neighbours to the least of them. All steps are
-    aggregations and equi-joins, so a hub's neighbours never meet in one group. Self-loops and repeated edges are
-    ignored; no edges give no rows.
+    Rounds of contraction: each node joins the least of itself and its neighbours in a random order (hashes of the ids,
+    different ones for different ids), and edges between what they joined go to the next round, of which there are about
+    as many as digits in the number of nodes. Each round is one aggregation and two equi-joins of what is left, so a hub's
+    neighbours never meet in one group. Self-loops and repeated edges are ignored; no edges give no rows.
     """
     state = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    order, joined = F.xxhash64, []
     for _ in range(limit):
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large-star: bigger neighbours go to the least of the neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        # small-star: smaller neighbours and the node itself do
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = settle(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        both = state.select("a", order("b").alias("m")).unionAll(state.select(F.col("b").alias("a"), order("a").alias("m")))
+        joined.append(settle(both.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("id"), F.least(order("a"), "m").alias("m")), "joined"))
+        here = joined[-1]
+        moved = state.join(here.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").join(here.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
+        after = settle(moved.where("ma <> mb").select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")).distinct(), "edges")
         discard(state)
-        state = after
-        # Done once every edge hangs on a root: no node has two edges upwards, and none has both a parent and children.
-        ends = state.select(F.col("a").alias("n"), F.lit(1).alias("up")).union(state.select("b", F.lit(0)).distinct())
-        if ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("all")).where("ups > 1 or (ups = 1 and all > 1)").isEmpty():
+        state, order = after, F.xxhash64
+        if state.isEmpty():
             break
     else:
         raise RuntimeError(f"components not settled after {limit} rounds")
-    roots = state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return state.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    label = joined[-1]
+    for here in reversed(joined[:-1]):
+        up = label.select(F.col("id").alias("m"), F.col("m").alias("top"))
+        label = here.join(up, "m", "left").select("id", F.coalesce("top", "m").alias("m"))
+    label = settle(label, "labels")
+    least = label.groupBy("m").agg(F.min("id").alias("component"))
+    return label.join(least, "m").select("id", "component")
 
 
 #: Neighbours in a crowded key that a node is compared with before all nodes of other components are.
@@ -167,5 +169,11 @@ def link_groups(keyed: DataFrame, max_bits, verify=None, reach: int = 1) -> Data
 
 
 def merge(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of ``found(id, component)`` joined by further ``links(a, b)``."""
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+    """Components of ``found(id, component)`` joined by further ``links(a, b)``: only the components that links touch are gone through again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ends = settle(ends, "ends")
+    of = lambda side: ends.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    across = settle(components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "across")
+    up = across.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    nodes = found.unionByName(ends.where("id = component").join(found, "id", "left_anti"))
+    return nodes.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import topk
 from tessera.llm.decontaminate import contaminated, drop_contaminated
-from tessera.llm.line_dedup import dedup_lines, marked, repeats, similar_groups, strip_lines, told_apart
+from tessera.llm.line_dedup import dedup_lines, marked, once, similar_groups, strip_lines, told_apart
 
 
 def plain_top(vectors, k, queries):
@@ -153,19 +153,17 @@ def test_line_dedup_finds_all_similar_lines(spark, documents):
     lines += [" ".join(["is", "on"] * k) for k in range(2, 30)]
     docs = documents(lines)
     said = marked(docs)
-    found = repeats(said)
-    expected = similar(lines, [(r["id"], r["first"]["doc_id"]) for r in found.collect()])
-    assert {tuple(r) for r in similar_groups(docs, said, found).collect()} == expected and len(expected) > 100
+    expected = similar(lines, [(r["id"], r["doc_id"]) for r in said.dropDuplicates(["id"]).collect()])
+    assert {tuple(r) for r in similar_groups(once(*told_apart(said))).collect()} == expected and len(expected) > 100
 
 
 def test_line_dedup_recall_over_whole_table(spark):
     """All pairs by edit similarity alone (those of lines that share no two neighbouring words aside) against groups found."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     said = marked(docs)
-    found = repeats(said)
     text = {(r["doc_id"], i): x for r in docs.collect() for i, x in enumerate((r["text"] or "").split("\n"))}
-    lines = {r["id"]: re.findall(r"[^\W_]+", text[r["first"]["doc_id"], r["first"]["pos"]].lower()) for r in found.collect()}
-    group = {r["id"]: r["component"] for r in similar_groups(docs, said, found).collect()}
+    lines = {r["id"]: re.findall(r"[^\W_]+", text[r["doc_id"], r["pos"]].lower()) for r in said.collect()}
+    group = {r["id"]: r["component"] for r in similar_groups(once(*told_apart(said))).collect()}
     having = collections.defaultdict(set)
     for i, w in lines.items():
         for two in zip(w, w[1:]):
@@ -184,8 +182,10 @@ def test_line_dedup_recall_over_whole_table(spark):
 
 def test_lines_of_one_hash_are_told_apart(spark):
     said = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 7)], "id long, check long")
-    ids = [r["id"] for r in told_apart(said).orderBy("check").collect()]
-    assert ids[0] == ids[1] != ids[2] and ids[3] == 2 and told_apart(said.where("check <> 6")).where("id = 1").count() == 2
+    apart, again = told_apart(said)
+    ids = [r["id"] for r in apart.orderBy("check").collect()]
+    assert ids[0] == ids[1] != ids[2] and ids[3] == 2 and [r["id"] for r in again.collect()] == ids[:1]
+    assert told_apart(said.where("check <> 6"))[0].where("id = 1").count() == 2
 
 
 def test_line_dedup_links_at_the_stated_similarity(spark, documents):
