@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import link_groups, settle, take
+from tessera.llm.common import hamming, link_groups, place, settle, take
 
 SEED = 42
 MAX_BITS = 4
@@ -142,6 +142,12 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "key long, id long, fp long")
 
 
+def untouched(fp: Column) -> tuple[Column, Column]:
+    """Five blocks of a fingerprint: four wrong bits leave one of them as it is."""
+    blocks = F.array(*(F.lit(i << 13).cast("long").bitwiseOR(F.shiftrightunsigned(fp, 13 * i).bitwiseAND(F.lit((1 << 13) - 1))) for i in range(MAX_BITS + 1)))
+    return blocks, blocks
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """``(doc_id, fp long, component_id)`` for each row of ``docs``.
 
@@ -152,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = settle(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = settle(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
-    parts = link_groups(_keyed(classes), MAX_BITS, reach=REACH)
+    parts = link_groups(_keyed(classes), lambda a, b: hamming(a, b) <= MAX_BITS, untouched, reach=REACH)
     named = classes.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -166,5 +172,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = near_duplicates(docs, id_col, text_col)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     keep = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
-    at = docs.columns.index(id_col)
+    at = place(docs.columns, id_col)
     return keep.join(gone, F.col(f"_in{at}") == F.col("_gone"), "left_anti").toDF(*docs.columns)
