@@ -122,13 +122,13 @@ def link_groups(keyed: DataFrame, alike, split, judge=None, reach: int = 1) -> D
     ``keyed(key long, id long, fp long)`` has one row for each node and key; ``fp`` depends on ``id`` alone.
     ``split`` is a function of a fingerprint column that divides crowded keys: an array of numbers under which a node is
     found, and one of those under which those like it are looked for. Of nodes that are alike, at least one number of the
-    one's second array is in the other's first. ``judge``, if given, is told the ids of all candidates and returns three
-    things: ``(id, sign)`` of each, a function of two signs that says which pairs are worth a look, and a function that
-    takes candidate pairs ``(a, b)`` and returns those that hold.
+    one's second array is in the other's first. ``judge``, if given, returns three things: ``(id, sign)`` of each node, a
+    function of two signs that says which pairs are worth a look, and a function that takes candidate pairs ``(a, b)``, and
+    whether they have been looked at in this way, and returns those that hold.
 
     All links count, yet a group of g nodes never yields g*g pairs. First each node is tried against its group's leader
-    and the ``reach`` nodes before it in fingerprint order, which is linear, joins most of a crowded group, and covers
-    all pairs of a group of up to three, or ``reach + 1``. Larger groups get a second linear pass with more neighbours.
+    and, in a group of up to three, or ``reach + 1``, the ``reach`` nodes before it, which covers all pairs of such a group
+    and joins most of a larger one. Larger groups get a second linear pass with the nodes before in fingerprint order.
     Of these, only nodes outside the group's largest component so far are then compared with the nodes of other
     components, under the same number of ``split``; pairs inside one component cannot change the result. Nodes without a
     link are absent from the result.
@@ -140,18 +140,18 @@ def link_groups(keyed: DataFrame, alike, split, judge=None, reach: int = 1) -> D
     in_all = F.count(F.lit(1)).over(in_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     tried = keyed.select("key", "id", "fp", (in_all > max(3, reach + 1)).alias("many"), *(c.alias(n) for n, c in others.items()))
     near = lambda c: F.when((F.col(f"{c}.id") != F.col("id")) & alike(F.col(f"{c}.fp"), F.col("fp")), F.col(f"{c}.id"))
-    tried = tried.select("key", "id", "fp", "many", F.array_compact(F.array(*map(near, others))).alias("to"))
+    tried = tried.select("key", "id", "fp", "many", F.array_compact(F.when(F.col("many"), F.array(near("lead"))).otherwise(F.array(*map(near, others)))).alias("to"))
     tried = settle(tried.where("many or size(to) > 0"), "tried")
     crowd = tried.where("many").select("key", "id", "fp")
-    verify, worth = (lambda pairs: pairs), (lambda a, b: F.lit(True))
+    verify, worth = (lambda pairs, sifted: pairs), (lambda a, b: F.lit(True))
     if judge:
-        signs, worth, verify = judge(tried.select(F.explode(F.concat(F.array("id"), "to")).alias("id")).distinct())
+        signs, worth, verify = judge()
         crowd = crowd.join(signs, "id")
     else:
         crowd = crowd.withColumn("sign", F.lit(None).cast("int"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     to = tried.select("id", F.explode("to").alias("other")).select(*pair(F.col("id"), F.col("other")))
-    first = settle(verify(to.distinct()), "links")
+    first = settle(verify(to.distinct(), False), "links")
     found = settle(components(first), "parts")
 
     # Crowded keys once more, against more neighbours of other components: most of what the cross phase would find pair by pair.
@@ -159,18 +159,21 @@ def link_groups(keyed: DataFrame, alike, split, judge=None, reach: int = 1) -> D
     beside = placed.select("id", "fp", "sign", "part", *(F.lag(F.struct("id", "fp", "sign", "part"), i).over(in_key).alias(f"prev{i}") for i in range(1, CROWD_REACH + 1)))
     close = lambda c: F.when((F.col(f"{c}.part") != F.col("part")) & alike(F.col(f"{c}.fp"), F.col("fp")) & worth(F.col(f"{c}.sign"), F.col("sign")), F.col(f"{c}.id"))
     beside = beside.select("id", F.explode(F.array_compact(F.array(*(close(f"prev{i}") for i in range(1, CROWD_REACH + 1))))).alias("other"))
-    again = settle(verify(beside.select(*pair(F.col("id"), F.col("other"))).distinct()), "links")
+    again = settle(verify(beside.select(*pair(F.col("id"), F.col("other"))).distinct(), True), "links")
     if not again.isEmpty():
         found = settle(merge(found, again), "parts")
         placed = crowd.join(found, "id", "left").select("key", "id", "fp", "sign", F.coalesce("component", "id").alias("part"))
     counted = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     placed = settle(placed.join(mixed, "key"), "mixed")
+    crowded = placed.groupBy("id").agg(F.collect_list("key").alias("keys"))  # of one node: as many as it has keys at most
+    placed = placed.join(crowded, "id")
     under, look = split(F.col("fp"))
-    odd = placed.where("part <> main").select("key", F.explode(look).alias("sub"), F.col("id").alias("id2"), F.col("fp").alias("fp2"), F.col("sign").alias("sign2"), F.col("part").alias("part2"))
-    far = odd.join(placed.select("key", F.explode(under).alias("sub"), "id", "fp", "sign", "part"), ["key", "sub"])
+    odd = placed.where("part <> main").select("key", F.explode(look).alias("sub"), *(F.col(c).alias(f"{c}2") for c in ("id", "fp", "sign", "part", "keys")))
+    far = odd.join(placed.select("key", F.explode(under).alias("sub"), "id", "fp", "sign", "part", "keys"), ["key", "sub"])
     far = far.where((F.col("part") != F.col("part2")) & alike(F.col("fp"), F.col("fp2")) & worth(F.col("sign"), F.col("sign2")))
-    more = settle(verify(far.select(*pair(F.col("id"), F.col("id2"))).distinct()), "links")
+    far = far.where(F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))  # a pair under the first key it shares
+    more = settle(verify(far.select(*pair(F.col("id"), F.col("id2"))).distinct(), True), "links")
     discard(tried)
     if more.isEmpty():
         return found

@@ -149,3 +149,15 @@ def test_toxicity_edges(spark, documents):
         assert np.array_equal(toxicity.present(text, flags), whole) and not flags.any()
     finally:
         toxicity.CHUNK = toxicity_chunk
+
+
+def test_toxicity_on_held_out_rows(spark):
+    from tessera.llm.toxicity import score, train
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = [(r["score"], marks[r["doc_id"]]) for r in score(docs, train(docs, labels)).where("held_out").collect() if marks.get(r["doc_id"]) is not None]
+    ones, zeros = [s for s, m in rows if m], [s for s, m in rows if not m]
+    area = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    print(len(ones), len(zeros), "area", area, "caught", sum(s >= 0.3 for s in ones), "false", sum(s >= 0.3 for s in zeros))
+    assert area > 0.9
