@@ -8,7 +8,7 @@ LABEL = "delay(close, -3) / delay(close, -1) - 1"
 
 def features(windows=WINDOWS) -> dict[str, str]:
     """Name to formula: nine candle shapes, four prices over the close, and 29 rolling families for each window."""
-    top, bottom, span = "higher_of(open, close)", "lower_of(open, close)", "(high - low + 1e-12)"
+    top, bottom, span = "greater(open, close)", "less(open, close)", "(high - low + 1e-12)"
     shapes = {"kmid": "close - open", "klen": "high - low", "kup": f"high - {top}", "klow": f"{bottom} - low", "ksft": "2 * close - high - low"}
     out = {name: f"({shape}) / open" for name, shape in shapes.items()}
     out |= {f"{name}_2": f"({shape}) / {span}" for name, shape in shapes.items() if name != "klen"}
@@ -16,7 +16,7 @@ def features(windows=WINDOWS) -> dict[str, str]:
 
     def moves(x: str, w: int, prefix: str) -> dict[str, str]:
         step = f"({x} - delay({x}, 1))"
-        gain, loss, base = f"sum(higher_of({step}, 0), {w})", f"sum(higher_of(delay({x}, 1) - {x}, 0), {w})", f"(sum(abs({step}), {w}) + 1e-12)"
+        gain, loss, base = f"sum(greater({step}, 0), {w})", f"sum(greater(delay({x}, 1) - {x}, 0), {w})", f"(sum(abs({step}), {w}) + 1e-12)"
         return {f"{prefix}p_{w}": f"{gain} / {base}", f"{prefix}n_{w}": f"{loss} / {base}", f"{prefix}d_{w}": f"({gain} - {loss}) / {base}"}
 
     for w in windows:
@@ -28,7 +28,7 @@ def features(windows=WINDOWS) -> dict[str, str]:
             f"beta_{w}": f"ts_slope(close, {w}) / close", f"rsqr_{w}": f"ts_rsquare(close, {w})", f"resi_{w}": f"ts_resi(close, {w}) / close",
             f"max_{w}": f"{high} / close", f"min_{w}": f"{low} / close",
             f"qtlu_{w}": f"ts_quantile(close, {w}, 0.8) / close", f"qtld_{w}": f"ts_quantile(close, {w}, 0.2) / close",
-            f"rank_{w}": f"rolling_rank(close, {w})", f"rsv_{w}": f"(close - {low}) / ({high} - {low} + 1e-12)",
+            f"rank_{w}": f"ts_rank(close, {w})", f"rsv_{w}": f"(close - {low}) / ({high} - {low} + 1e-12)",
             f"imax_{w}": f"argmax(high, {w}) / {w}", f"imin_{w}": f"argmin(low, {w}) / {w}", f"imxd_{w}": f"(argmax(high, {w}) - argmin(low, {w})) / {w}",
             f"corr_{w}": f"corr(close, log(volume + 1), {w})", f"cord_{w}": f"corr(close / delay(close, 1), log(volume / delay(volume, 1) + 1), {w})",
             f"cntp_{w}": ups, f"cntn_{w}": downs, f"cntd_{w}": f"{ups} - {downs}",

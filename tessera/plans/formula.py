@@ -53,8 +53,7 @@ FUNCTIONS = {
 #: Shorter names, as in the literature.
 ALIASES = {
     "rank": "cs_rank", "scale": "cs_scale", "delay": "ts_delay", "delta": "ts_delta", "sum": "ts_sum", "mean": "ts_mean", "std": "ts_std",
-    "corr": "ts_corr", "cov": "ts_cov", "argmax": "ts_argmax", "argmin": "ts_argmin", "rolling_rank": "ts_rank", "decay": "ts_decay_linear",
-    "product": "ts_product", "min": "ts_min", "max": "ts_max", "spow": "pow1", "upow": "pow2", "lower_of": "less", "higher_of": "greater",
+    "corr": "ts_corr", "cov": "ts_cov", "argmax": "ts_argmax", "argmin": "ts_argmin", "product": "ts_product", "min": "ts_min", "max": "ts_max",
 }
 #: Names that stand for formulas; adv<n> is the mean volume of n rows.
 SHORTHAND = {"returns": "close / ts_delay(close, 1) - 1", "mid": "(high + low) / 2"}

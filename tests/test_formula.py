@@ -78,7 +78,7 @@ def test_rows_in_any_order_and_short_names(spark):
     mixed = rows[:]
     random.Random(1).shuffle(mixed)
     make = lambda r: spark.createDataFrame(r, "d string, vt_symbol string, close double").withColumn("datetime", F.col("d").cast("timestamp_ntz"))
-    a, b = (evaluate(make(r), {"v": "decay(delta(close, 1), 2)"}, keep=("datetime",)).orderBy("datetime").collect() for r in (rows, mixed))
+    a, b = (evaluate(make(r), {"v": "ts_decay_linear(delta(close, 1), 2)"}, keep=("datetime",)).orderBy("datetime").collect() for r in (rows, mixed))
     assert a == b
 
 
