@@ -16,8 +16,8 @@ import numpy as np
 
 #: Characters on which this module's splitting is known to agree with the library's: their classes and lower case are old and fixed.
 _PLAIN = "\t\n\r" + "".join(map(chr, range(0x20, 0x7F))) + "".join(chr(c) for c in range(0xA1, 0x180) if c not in (0xAD, 0x130))
-#: Pre-tokens that one worker remembers, about 0.2 KB each: 90 MB. Those used of late stay, in two generations of half as many.
-MEMO = 440_000
+#: Pre-tokens that one worker remembers, about 0.2 KB each: 80 MB. Those used of late stay, in two generations of half as many.
+MEMO = 400_000
 
 
 def _of(kind: str) -> str:
