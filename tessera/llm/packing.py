@@ -118,8 +118,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc, found in zip(batch.column(0).to_pylist(), encode.each(batch.column(1).to_pylist()), strict=True):
+                ids = found + end
                 total = len(ids) // 4
                 first = total if total <= capacity else total % capacity or capacity
                 start, piece = 0, 0

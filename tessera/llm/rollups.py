@@ -27,7 +27,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, id_col: str
 
         encode = encoder(tokenizer_path)
         for batch in batches:
-            counts = [len(encode(t)) // 4 for t in batch.column(3).to_pylist()]
+            counts = [len(ids) // 4 for ids in encode.each(batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 
     rows = take(docs, doc_id=id_col, source=source_col, lang=lang_col, text=text_col)

@@ -64,8 +64,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
                 sink = out.open_output_stream(f"{at}/{name}.bin")
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            for text in batch.column(1).to_pylist():
-                tokens = np.frombuffer(encode(text) + end, "<u4")
+            for found in encode.each(batch.column(1).to_pylist()):
+                tokens = np.frombuffer(found + end, "<u4")
                 sizes.append(len(tokens))
                 sink.write(tokens.astype(f"<u{width}").tobytes())
         if sink is None:

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 
@@ -18,6 +21,8 @@ import numpy as np
 _PLAIN = "\t\n\r" + "".join(map(chr, range(0x20, 0x7F))) + "".join(chr(c) for c in range(0xA1, 0x180) if c not in (0xAD, 0x130))
 #: Pre-tokens that one worker remembers, about 0.2 KB each: 80 MB. Those used of late stay, in two generations of half as many.
 MEMO = 400_000
+#: Characters of texts whose pre-tokens are held at once, but for a single longer text.
+GROUP = 1 << 18
 
 
 def _of(kind: str) -> str:
@@ -36,33 +41,73 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.split, self.lower = _splitter(_layout(path))
         self.odd = re.compile(f"[^{re.escape(_PLAIN)}]")
-        encode, plain = self.tokenizer.encode, np.dtype("<u4")
-
-        class Memo(dict):
-            before: dict = {}  # noqa: RUF012
-
-            def __missing__(self, piece):
-                ids = self.before.get(piece)
-                if ids is None:
-                    ids = np.asarray(encode(piece, add_special_tokens=False).ids, plain).tobytes()
-                if len(piece) < 64:
-                    if len(self) >= MEMO // 2:
-                        self.before = dict(self)
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.memo = Memo()
+        self.recent: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.split is None or "<|" in text or self.odd.search(text):
-            return self.whole(text)
-        return b"".join(map(self.memo.__getitem__, self.split(text.lower() if self.lower else text)))
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; a group's pre-tokens that are not remembered go to the library together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        found: list = []  # bytes, or the pre-tokens' ids with the places of those that lack
+        lacking: dict[str, bytes | None] = {}
+        recent, before = self.recent, self.before
+        for text in texts:
+            if self.split is None or "<|" in text or self.odd.search(text):
+                found.append(self.whole(text))
+                continue
+            pieces = self.split(text.lower() if self.lower else text)
+            ids = list(map(recent.get, pieces))
+            gaps = [(i, pieces[i]) for i, known in enumerate(ids) if known is None]
+            lacking.update((piece, before.get(piece)) for _, piece in gaps)
+            found.append((ids, gaps))
+        new = [piece for piece, known in lacking.items() if known is None]
+        if new:
+            lacking.update(zip(new, self._encode(new), strict=True))
+        out = []
+        for part in found:
+            if isinstance(part, tuple):
+                ids, gaps = part
+                for i, piece in gaps:
+                    ids[i] = lacking[piece]
+                part = b"".join(ids)
+            out.append(part)
+        self._remember(lacking)
+        return out
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token. Where blanks are dropped between pre-tokens, one text of them all is encoded and cut by the library's word numbers."""
+        if self.lower:
+            whole = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+            ids, words = np.array(whole.ids, "<u4").tobytes(), np.array(whole.word_ids, np.int64)
+            cuts = [0, *((np.flatnonzero(np.diff(words)) + 1) * 4).tolist(), len(ids)]
+            if len(cuts) == len(pieces) + 1:
+                return [ids[a:b] for a, b in pairwise(cuts)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _remember(self, pieces: dict[str, bytes]) -> None:
+        for piece, ids in pieces.items():
+            if len(piece) < 64:
+                if len(self.recent) >= MEMO // 2:
+                    self.before, self.recent = self.recent, {}
+                self.recent[piece] = ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _layout(path: str) -> dict:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, token_files
+from tessera.llm import packing, token_files, tokens
 from tessera.llm.rollups import TokenRollup, count_tokens
 from tessera.llm.tokens import Encoder
 
@@ -28,6 +28,18 @@ def test_ids_are_the_librarys(path):
     assert encode(None) == b""
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_many_texts_at_once_and_a_small_memo(path, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 20)
+    monkeypatch.setattr(tokens, "GROUP", 200)
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    rng = random.Random(2)
+    texts = TEXTS + [" ".join("".join(rng.choice("abcé1'.") for _ in range(rng.randint(1, 70))) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None]
+    wanted = [np.asarray(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(Encoder(path).each(texts)) == wanted
+
+
 def reference(path, text, end):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
