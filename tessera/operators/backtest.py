@@ -18,7 +18,10 @@ TRADES = "portfolio string, datetime timestamp_ntz, vt_symbol string, direction
 
 @dataclass(frozen=True)
 class Rotation:
-    """Hold the best ``top`` symbols by signal: each bar at most ``drop`` of the worst held go after ``min_days`` bars."""
+    """Hold the best ``top`` symbols by signal: each bar at most ``drop`` of the worst held go after ``min_days`` bars.
+
+    Held symbols without a signal go too. As many are bought as were to go, though some of these may be too young to.
+    """
 
     top: int = 10
     drop: int = 2
@@ -30,6 +33,7 @@ class Rotation:
     limit: float = 0.1
     long_rate: float = 0.0005
     short_rate: float = 0.0015
+    min_commission: float = 5.0
     size: float = 1.0
     pricetick: float = 0.01
 
@@ -78,28 +82,22 @@ def simulate(rows: pd.DataFrame, rule: Rotation) -> list[tuple]:
             age[symbol] = age.get(symbol, 0) + 1
 
         ranked = sorted(((b.signal, s) for s, b in now.items() if pd.notna(b.signal)), key=lambda x: (-x[0], x[1]))
-        if not ranked:
-            continue
         place = {s: i for i, (_, s) in enumerate(ranked)}
-        best = [s for _, s in ranked[: rule.top]]
-        union = sorted(set(held) | set(best), key=lambda s: place.get(s, len(place)))
-        worst = [s for s in union[len(union) - rule.drop :] if s in held] if rule.drop else []
+        best = list(place)
+        union = sorted({s for s in held if s in place} | set(best[: rule.top]), key=place.__getitem__)
+        worst = set(union[max(0, len(union) - rule.drop) :])
         sell = [s for s in held if s not in place or s in worst]
-        sell = [s for s in sell if age.get(s, 0) >= rule.min_days]
-        room = rule.top + len(sell) - len(held)
-        buy = [s for s in best if s not in held][: max(0, room)]
-        orders = []
+        buy = [s for s in best if s not in held][: max(0, rule.top + len(sell) - len(held))]
+        orders, free = [], cash
         for symbol in sell:
-            if symbol in now:
-                price = to_tick(last[symbol] * (1 - rule.price_add), rule.pricetick)
-                orders.append((symbol, "SHORT", price, held[symbol]))
-        if buy:
-            free = cash + sum(last[s] * held[s] * rule.size for s in sell if s in now)
-            each = free * rule.cash_ratio / len(buy)
-            for symbol in buy:
-                price = last[symbol]
-                if price > 0 and (volume := each / (price * rule.size) // rule.min_volume * rule.min_volume) > 0:
-                    orders.append((symbol, "LONG", to_tick(price * (1 + rule.price_add), rule.pricetick), volume))
+            if symbol in now and age[symbol] >= rule.min_days:
+                orders.append((symbol, "SHORT", to_tick(last[symbol] * (1 - rule.price_add), rule.pricetick), held[symbol]))
+                value = last[symbol] * held[symbol] * rule.size
+                free += value - max(value * rule.short_rate, rule.min_commission)
+        for symbol in buy:
+            price = last[symbol]
+            if price > 0 and (volume := to_tick(free * rule.cash_ratio / len(buy) / (price * rule.size), rule.min_volume)) > 0:
+                orders.append((symbol, "LONG", to_tick(price * (1 + rule.price_add), rule.pricetick), volume))
     return trades
 
 

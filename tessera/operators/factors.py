@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,17 +54,22 @@ def volatility(df: DataFrame, window: int = 20, low: float = 0.005, high: float
 
 
 def volume(df: DataFrame, short: int = 5, long: int = 10, high: float = 1.5, low: float = 0.7) -> DataFrame:
-    """Means of volume with the current bar, their ratio to it, its change and level, and what price and volume did together."""
-    ma = {n: F.avg("volume").over(K.last(n)) for n in (short, long)}
-    fine = _rows(long) & (ma[short] != 0)
-    ratio = F.col("volume") / ma[short]
-    price = N.sign(F.col("close") - _lag("close"))
+    """Means of volume with the current bar, its ratio to the long one, its change and level, and what price and volume did together.
+
+    Means are over as many bars as there are; UNKNOWN on a symbol's first bar and while a close or volume among the last ``long`` bars is null.
+    """
+    seen, x = K.last(long), F.col("volume")
+    fine = _lag("close").isNotNull() & _lag("volume").isNotNull() & (F.count(F.when(F.col("close").isNull() | x.isNull(), 1)).over(seen) == 0)
+    mean_s, mean_l = F.avg(x).over(K.last(short)), F.avg(x).over(seen)
+    ratio = F.when(mean_l > 0, x / mean_l).otherwise(0.0)
+    change = F.when(_lag("volume") > 0, x / _lag("volume") - 1).otherwise(0.0)
+    price = F.when(_lag("close") > 0, F.col("close") / _lag("close") - 1).otherwise(0.0)
     up, down = ratio >= high, ratio <= low
     return df.withColumns({
-        "volume_ma_short": F.when(fine, ma[short]), "volume_ma_long": F.when(fine, ma[long]), "volume_ratio": F.when(fine, ratio), "volume_change": F.when(fine, _change("volume")),
-        "volume_level": F.when(~fine, "UNKNOWN").when(up, "HIGH").when(down, "LOW").otherwise("NORMAL"),
-        "price_volume_signal": F.when(~fine | _lag("close").isNull(), "UNKNOWN").when((price > 0) & up, "PRICE_UP_VOLUME_UP").when((price > 0) & down, "PRICE_UP_VOLUME_DOWN")
-        .when((price < 0) & up, "PRICE_DOWN_VOLUME_UP").when((price < 0) & down, "PRICE_DOWN_VOLUME_DOWN").otherwise("NEUTRAL"),
+        "volume_ma_short": F.when(fine, mean_s), "volume_ma_long": F.when(fine, mean_l), "volume_ratio": F.when(fine, ratio), "volume_change": F.when(fine, change),
+        "volume_level": F.when(~fine, "UNKNOWN").when(up, "HIGH_VOLUME").when(down, "LOW_VOLUME").otherwise("NORMAL_VOLUME"),
+        "price_volume_signal": F.when(~fine, "UNKNOWN").when((price > 0) & up, "PRICE_UP_VOLUME_UP").when((price < 0) & up, "PRICE_DOWN_VOLUME_UP")
+        .when((price > 0) & down, "PRICE_UP_VOLUME_LOW").when((price < 0) & down, "PRICE_DOWN_VOLUME_LOW").when(change > 1, "VOLUME_SPIKE").otherwise("NORMAL"),
     })
 
 
@@ -76,34 +82,47 @@ def bollinger(df: DataFrame, window: int = 20, dev: float = 2.0, near: float = 0
     return df.withColumns({"boll_middle": F.when(fine, middle), "boll_up": F.when(fine, middle + width), "boll_down": F.when(fine, middle - width), "boll_width": F.when(fine & (middle != 0), 2 * width / middle), "boll_position": F.when(fine, place), "boll_signal": signal})
 
 
-def price_volume_reversal(df: DataFrame, window: int = 20, move: float = 0.0) -> DataFrame:
-    """Minus the correlation of price ratios with log volume ratios, 0 where a side is constant; and how the two diverge."""
-    price, vol = F.when(_lag("close") > 0, F.col("close") / _lag("close")), F.when(_lag("volume") > 0, F.log(F.col("volume") / _lag("volume") + 1))
-    staged = df.withColumns({"_p": price, "_v": vol})
+def price_volume_reversal(df: DataFrame, window: int = 20, price_edge: float = 0.02, volume_edge: float = 0.2) -> DataFrame:
+    """``price_volume_reversal, divergence_signal, divergence_score``.
+
+    The first is minus the correlation of price ratios with log volume ratios, 0 where a side is constant. Signal and score
+    compare the changes of price and volume over the window. Null, null and UNKNOWN before window + 1 bars, or where a
+    close is not above 0 or a volume that is divided by is 0.
+    """
+    price = F.when((_lag("close") > 0) & (F.col("close") > 0), F.col("close") / _lag("close"))
+    vol = F.when((_lag("volume") > 0) & (F.col("volume") >= 0), F.log(F.col("volume") / _lag("volume") + 1))
+    staged = df.withColumns({"_p": price, "_v": vol, "_dp": _change("close", window), "_dv": _change("volume", window)})
     both = F.col("_p").isNotNull() & F.col("_v").isNotNull()
     p, v = F.when(both, F.col("_p")), F.when(both, F.col("_v"))
     seen = K.last(window)
     spread = F.stddev_pop(p).over(seen) * F.stddev_pop(v).over(seen)
     fine = F.count(p).over(seen) == window
-    dp, dv = F.col("close") - _lag("close", window), F.col("volume") - _lag("volume", window)
-    signal = F.when(~fine, "UNKNOWN").when((dp > move) & (dv < 0), "TOP_DIVERGENCE").when((dp < -move) & (dv > 0), "BOTTOM_DIVERGENCE").when((dp > move) & (dv > 0), "CONFIRM_UP").when((dp < -move) & (dv < 0), "CONFIRM_DOWN").otherwise("NEUTRAL")
-    return staged.withColumns({"price_volume_reversal": F.when(fine, F.when(spread > 0, -F.covar_pop(p, v).over(seen) / spread).otherwise(0.0)), "divergence_signal": signal}).drop("_p", "_v")
+    dp, dv = F.col("_dp"), F.col("_dv")
+    fall, rise, less, more = dp <= -price_edge, dp >= price_edge, dv <= -volume_edge, dv >= volume_edge
+    signal = F.when(~fine, "UNKNOWN").when(fall & more, "BULLISH_DIVERGENCE").when(rise & less, "BEARISH_DIVERGENCE").when(fall & less, "SELLING_EXHAUSTION").when(rise & more, "TREND_CONFIRMATION").otherwise("NEUTRAL")
+    points = F.when(fall & more, dv - dp).when(rise & less, dv - dp).when(fall & less, (-dp - dv) * 0.5).when(rise & more, dp + dv * 0.25).otherwise(0.0)
+    return staged.withColumns({
+        "price_volume_reversal": F.when(fine, F.when(spread > 0, -F.covar_pop(p, v).over(seen) / spread).otherwise(0.0)),
+        "divergence_signal": signal, "divergence_score": F.when(fine, points),
+    }).drop("_p", "_v", "_dp", "_dv")
+
 
+def intraday_fade(df: DataFrame, window: int = 20, rise: float = 0.02, fall: float = 0.01, ratio: float = 0.6, burst: float = 1.5, single: bool = False) -> DataFrame:
+    """``fade_score, fade_signal``: rise to the high, fall from it, the fall's share of the range, and a burst of volume.
 
-def intraday_fade(df: DataFrame, window: int = 20, rise: float = 0.01, fall: float = 0.005, ratio: float = 0.5, burst: float = 1.5, single: bool = False) -> DataFrame:
-    """Rise to the high, fall from it and a burst of volume: over n bars against the n before, or one bar (``single``) against n."""
+    Over n bars against the n before, or one bar (``single``) against the mean of the n before; volumes of 0 are left out of
+    what is compared with. Null and false before there are 2 n (n + 1) bars, without a range or without earlier volume.
+    """
     n = 1 if single else window
-    start = F.first("open").over(K.last(n)) if n > 1 else F.col("open")
-    top = F.max("high").over(K.last(n))
-    base_frame = K.last(window, skip=n)
-    positive = F.when(F.col("volume") > 0, F.col("volume"))
-    base = F.avg(positive).over(base_frame) * n if single else F.sum(positive).over(base_frame)
-    up = F.when(start > 0, top / start - 1)
-    back = F.when(top > 0, 1 - F.col("close") / top)
-    share = F.when(top > start, (top - F.col("close")) / (top - start)).otherwise(0.0)
-    vol = F.when(base > 0, F.sum("volume").over(K.last(n)) / base)
+    known = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("open", "high", "low", "close", "volume")}
+    seen, before = K.last(n), K.last(window, skip=n)
+    start = F.first(known["open"]).over(seen) if n > 1 else known["open"]
+    top, bottom, last = F.max(known["high"]).over(seen), F.min(known["low"]).over(seen), known["close"]
+    base = (F.avg if single else F.sum)(F.when(F.col("volume") > 0, F.col("volume"))).over(before)
+    up, back, share, vol = (top - start) / start, (top - last) / top, (top - last) / (top - bottom), F.sum(known["volume"]).over(seen) / base
+    fine = _rows(window + n) & (start > 0) & (top > bottom) & (bottom > 0) & (last > 0) & (base > 0)
     signal = (up >= rise) & (back >= fall) & (share >= ratio) & (vol >= burst)
-    return df.withColumns({"fade_score": up * back * share * vol, "fade_signal": F.coalesce(signal, F.lit(False))})
+    return df.withColumns({"fade_score": F.when(fine, up * back * share * vol), "fade_signal": F.coalesce(fine & signal, F.lit(False))})
 
 
 def confirmed(df: DataFrame, signal: str = "fade_signal", times: int = 3) -> DataFrame:
@@ -176,7 +195,7 @@ def score(df: DataFrame, weights: Mapping[str, float], min_score: float = 0.0, n
 
 def ml_signal(df: DataFrame) -> DataFrame:
     """BUY, SELL or HOLD of a factor sample; BUY comes first."""
-    buy = (F.col("momentum_trend") == "UP") & (F.col("momentum") >= 0.001) & ((F.col("volume_ratio") >= 1.2) | (F.col("volume_level") == "HIGH")) & (F.col("volatility") <= 0.03)
+    buy = (F.col("momentum_trend") == "UP") & (F.col("momentum") >= 0.001) & ((F.col("volume_ratio") >= 1.2) | (F.col("volume_level") == "HIGH_VOLUME")) & (F.col("volatility") <= 0.03)
     sell = ((F.col("momentum_trend") == "DOWN") & (F.col("momentum") <= -0.001)) | (F.col("price_volume_signal") == "PRICE_DOWN_VOLUME_UP")
     return df.withColumn("signal", F.when(buy, "BUY").when(sell, "SELL").otherwise("HOLD"))
 
@@ -186,20 +205,65 @@ def position_signal(df: DataFrame) -> DataFrame:
     return df.where(F.col("signal").isin("BUY", "SELL")).withColumn("target", F.when(F.col("signal") == "BUY", "LONG").otherwise("FLAT"))
 
 
-def inflection_entry(df: DataFrame, window: int = 20, burst: float = 1.5) -> DataFrame:
-    """``entry``: below the long mean, at rising short mean, off the low, on an up bar with more volume and a higher low."""
-    mean_s, mean_l = F.avg("close").over(K.last(5)), F.avg("close").over(K.last(window))
-    staged = df.withColumns({"_s": mean_s, "_l": mean_l})
-    base = F.avg("volume").over(K.last(window, skip=1))
-    rule = (F.col("close") < F.col("_l")) & (F.col("_s") > _lag("_s")) & (F.col("close") > F.min("low").over(K.last(window))) & (F.col("close") > F.col("open")) & (F.col("volume") >= base * burst) & (F.col("low") > _lag("low"))
-    return staged.withColumn("entry", F.coalesce(rule & _rows(window + 1), F.lit(False))).drop("_s", "_l")
+def inflection_sample(df: DataFrame, high_window: int = 120, low_window: int = 20, recent: int = 10, hold: int = 5, surge: float = 0.08, burst: float = 2.5) -> DataFrame:
+    """What ``inflection_entry`` looks at, from bars with a ``macd`` column; each is null or false where bars lack.
+
+    ``drawdown_120`` is the fall from the highest close of ``high_window`` bars, ``return_1d`` the bar's return,
+    ``volume_ratio_10`` the volume over the mean of the ten bars before, ``distance_from_low`` the rise from the least low of
+    ``low_window`` bars. ``macd_bottom_divergence``: the least close of the last ``recent`` bars is below, their least macd above
+    that of the ``low_window`` bars before. ``support_hold_after_surge``: the close is not below the open of the last bar, among
+    ``hold``, that rose by ``surge`` on ``burst`` times the usual volume.
+    """
+    base, late, early = F.avg("volume").over(K.last(10, skip=1)), K.last(recent), K.last(low_window, skip=recent)
+    fall = 1 - F.col("close") / F.max("close").over(K.last(high_window))
+    staged = df.withColumns({"return_1d": _change("close"), "volume_ratio_10": F.when(base > 0, F.col("volume") / base), "drawdown_120": fall, "distance_from_low": F.col("close") / F.min("low").over(K.last(low_window)) - 1})
+    support = F.last(F.when((F.col("return_1d") >= surge) & (F.col("volume_ratio_10") >= burst), F.col("open")), True).over(K.last(hold))
+    diverges = _rows(low_window + recent) & (F.min("close").over(late) < F.min("close").over(early)) & (F.min("macd").over(late) > F.min("macd").over(early))
+    return staged.withColumns({"macd_bottom_divergence": F.coalesce(diverges, F.lit(False)), "support_hold_after_surge": F.coalesce(F.col("close") >= support, F.lit(False))})
+
+
+def inflection_entry(df: DataFrame, drawdown: float = 0.45, rise: float = 0.08, burst: float = 2.5, distance: float = 0.15) -> DataFrame:
+    """``entry``: deep below the high, a divergence of MACD, a strong up bar on much volume, still near the low, and support holds."""
+    rule = (F.col("drawdown_120") >= drawdown) & F.col("macd_bottom_divergence") & (F.col("return_1d") >= rise) & (F.col("volume_ratio_10") >= burst) & (F.col("distance_from_low") <= distance) & F.col("support_hold_after_surge")
+    return df.withColumn("entry", F.coalesce(rule, F.lit(False)))
 
 
-def bar_alert(df: DataFrame, burst: float = 2.0) -> DataFrame:
-    """``alert``: UP or DOWN where short and long means and the close line up and volume bursts, else null."""
-    ma5, ma10, base = F.avg("close").over(K.last(5)), F.avg("close").over(K.last(10)), F.avg("volume").over(K.last(10, skip=1))
-    loud = _rows(11) & (F.col("volume") >= base * burst)
-    return df.withColumn("alert", F.when(loud & (F.col("close") > ma5) & (ma5 > ma10), "UP").when(loud & (F.col("close") < ma5) & (ma5 < ma10), "DOWN"))
+def inflection_signals(df: DataFrame, stop_loss: float = 0.025, take_profit: float = 0.05) -> DataFrame:
+    """``(datetime, vt_symbol, direction, score, close)``: LONG on an ``entry`` while out, FLAT on a later bar at the stop or the profit.
+
+    One pass over a symbol's bars in order; bars without a close never change the position.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out, paid = [], None
+        for when, symbol, close, entry in rows.sort_values("datetime", kind="stable").itertuples(index=False):
+            if pd.isna(close):
+                continue
+            if paid is None and entry:
+                paid = close
+                out.append((when, symbol, "LONG", 1.0, close))
+            elif paid is not None and not paid * (1 - stop_loss) < close < paid * (1 + take_profit):
+                paid = None
+                out.append((when, symbol, "FLAT", 0.0, close))
+        return pd.DataFrame(out, columns=["datetime", "vt_symbol", "direction", "score", "close"])
+
+    own = df.select("datetime", "vt_symbol", "close", "entry")
+    kind = dict(own.dtypes)
+    return own.groupBy("vt_symbol").applyInPandas(one, f"datetime {kind['datetime']}, vt_symbol {kind['vt_symbol']}, direction string, score double, close {kind['close']}")
+
+
+def bar_alert(df: DataFrame, burst: float = 2.0, move: float = 0.01) -> DataFrame:
+    """``alert``: VOLUME_UP, VOLUME_DOWN, MEANS_UP, MEANS_DOWN or NORMAL; ``push``: whether it, the return or the volume is worth a message.
+
+    Up is a close over its 5-bar mean and that over the 10-bar one, down the reverse; volume bursts if it is ``burst`` times its
+    5-bar mean, the bar included. Null before ten bars.
+    """
+    ma5, ma10, base = F.avg("close").over(K.last(5)), F.avg("close").over(K.last(10)), F.avg("volume").over(K.last(5))
+    loud = F.when(base > 0, F.col("volume") / base).otherwise(0.0) >= burst
+    up, down = (F.col("close") > ma5) & (ma5 > ma10), (F.col("close") < ma5) & (ma5 < ma10)
+    moved = F.abs(F.when(_lag("close") > 0, F.col("close") / _lag("close") - 1).otherwise(0.0)) >= move
+    kind = F.when(up & loud, "VOLUME_UP").when(down & loud, "VOLUME_DOWN").when(up, "MEANS_UP").when(down, "MEANS_DOWN").otherwise("NORMAL")
+    return df.withColumns({"alert": F.when(_rows(10), kind), "push": F.when(_rows(10), up | down | moved | loud)})
 
 
 def daily_selection(bars: DataFrame, universe: DataFrame, top: int = 10, min_amount: float = 0.0) -> DataFrame:

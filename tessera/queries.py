@@ -422,22 +422,68 @@ register("factor_momentum", lambda s, d: rounded(factors.momentum(views.panel(s,
          f"WITH {_FAC}, q AS (SELECT datetime, vt_symbol, rn, r5, max(close) OVER w6 - min(close) OVER w6 AS s FROM (SELECT *, close FROM f1) t WINDOW {_W6}), p AS (SELECT f1.*, max(close) OVER w6 - min(close) OVER w6 AS s FROM f1 WINDOW {_W6}) SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 6 THEN r5 END', 6, 'momentum')}, {_r('CASE WHEN rn >= 6 THEN CASE WHEN s = 0 THEN 0 ELSE r5 / s END END', 6, 'momentum_strength')}, CASE WHEN rn < 6 THEN 'UNKNOWN' WHEN r5 >= 0.001 THEN 'UP' WHEN r5 <= -0.001 THEN 'DOWN' ELSE 'FLAT' END AS momentum_trend FROM p")
 register("factor_volatility", lambda s, d: rounded(factors.volatility(views.panel(s, d)).select(*KEY, "volatility", "volatility_level"), 6, "volatility"),
          f"WITH {_FAC}, q AS (SELECT datetime, vt_symbol, CASE WHEN count(r1) OVER w = 20 THEN stddev_pop(r1) OVER w END AS v FROM f1 WINDOW w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT datetime, vt_symbol, {_r('v', 6, 'volatility')}, CASE WHEN v IS NULL THEN 'UNKNOWN' WHEN v >= 0.02 THEN 'HIGH' WHEN v <= 0.005 THEN 'LOW' ELSE 'MEDIUM' END AS volatility_level FROM q")
-register("factor_volume", lambda s, d: rounded(factors.volume(views.panel(s, d)).select(*KEY, "volume_ratio", "volume_level", "price_volume_signal"), 6, "volume_ratio"),
-         f"""WITH {_FAC}, q AS (SELECT *, avg(volume) OVER w5 AS m FROM f1 WINDOW w5 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), p AS (SELECT *, volume / m AS r FROM q)
-  SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 10 THEN r END', 6, 'volume_ratio')}, CASE WHEN rn < 10 THEN 'UNKNOWN' WHEN r >= 1.5 THEN 'HIGH' WHEN r <= 0.7 THEN 'LOW' ELSE 'NORMAL' END AS volume_level,
-  CASE WHEN rn < 10 THEN 'UNKNOWN' WHEN close > c1 AND r >= 1.5 THEN 'PRICE_UP_VOLUME_UP' WHEN close > c1 AND r <= 0.7 THEN 'PRICE_UP_VOLUME_DOWN' WHEN close < c1 AND r >= 1.5 THEN 'PRICE_DOWN_VOLUME_UP' WHEN close < c1 AND r <= 0.7 THEN 'PRICE_DOWN_VOLUME_DOWN' ELSE 'NEUTRAL' END AS price_volume_signal FROM p""")
+register("factor_volume", lambda s, d: rounded(factors.volume(views.panel(s, d)).select(*KEY, "volume_ratio", "volume_change", "volume_level", "price_volume_signal"), 6, "volume_ratio", "volume_change"),
+         f"""WITH {_FAC}, q AS (SELECT *, avg(volume) OVER w10 AS m FROM f1 WINDOW w10 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+  p AS (SELECT *, CASE WHEN m > 0 THEN volume / m ELSE 0 END AS r, CASE WHEN v1 > 0 THEN volume / v1 - 1 ELSE 0 END AS c, CASE WHEN c1 > 0 THEN close / c1 - 1 ELSE 0 END AS d FROM q)
+  SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 2 THEN r END', 6, 'volume_ratio')}, {_r('CASE WHEN rn >= 2 THEN c END', 6, 'volume_change')},
+  CASE WHEN rn < 2 THEN 'UNKNOWN' WHEN r >= 1.5 THEN 'HIGH_VOLUME' WHEN r <= 0.7 THEN 'LOW_VOLUME' ELSE 'NORMAL_VOLUME' END AS volume_level,
+  CASE WHEN rn < 2 THEN 'UNKNOWN' WHEN d > 0 AND r >= 1.5 THEN 'PRICE_UP_VOLUME_UP' WHEN d < 0 AND r >= 1.5 THEN 'PRICE_DOWN_VOLUME_UP' WHEN d > 0 AND r <= 0.7 THEN 'PRICE_UP_VOLUME_LOW' WHEN d < 0 AND r <= 0.7 THEN 'PRICE_DOWN_VOLUME_LOW' WHEN c > 1 THEN 'VOLUME_SPIKE' ELSE 'NORMAL' END AS price_volume_signal FROM p""")
 register("factor_bollinger", lambda s, d: rounded(factors.bollinger(views.panel(s, d)).select(*KEY, "boll_width", "boll_position", "boll_signal"), 5, "boll_width", "boll_position"),
          f"""WITH {_FAC}, q AS (SELECT *, avg(close) OVER w AS m, 2 * stddev_pop(close) OVER w AS s FROM f1 WINDOW w AS (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), p AS (SELECT *, CASE WHEN s = 0 THEN 0.5 ELSE (close - (m - s)) / (2 * s) END AS t FROM q)
   SELECT datetime, vt_symbol, {_r('CASE WHEN rn >= 20 THEN 2 * s / m END', 5, 'boll_width')}, {_r('CASE WHEN rn >= 20 THEN t END', 5, 'boll_position')}, CASE WHEN rn < 20 THEN 'UNKNOWN' WHEN t > 1 THEN 'BREAK_UP' WHEN t < 0 THEN 'BREAK_DOWN' WHEN t >= 0.8 THEN 'NEAR_UPPER' WHEN t <= 1 - 0.8 THEN 'NEAR_LOWER' ELSE 'MIDDLE' END AS boll_signal FROM p""")
-register("factor_reversal", lambda s, d: rounded(factors.price_volume_reversal(views.panel(s, d)).select(*KEY, "price_volume_reversal", "divergence_signal"), 5, "price_volume_reversal"))
-register("factor_fade", lambda s, d: rounded(factors.confirmed(factors.intraday_fade(views.panel(s, d)), times=2).select(*KEY, "fade_score", "fade_signal", "confirmed"), 6, "fade_score"))
-register("factor_fade_single", lambda s, d: rounded(factors.intraday_fade(views.panel(s, d), single=True).select(*KEY, "fade_score", "fade_signal"), 6, "fade_score"))
-register("factor_volume_stall", lambda s, d: rounded(factors.volume_stall(views.panel(s, d)).select(*KEY, "stall_score", "stall_signal"), 5, "stall_score"))
-register("factor_inflection", lambda s, d: factors.inflection_entry(views.panel(s, d)).select(*KEY, "entry"))
-register("factor_alert", lambda s, d: factors.bar_alert(views.panel(s, d)).where("alert is not null").select(*KEY, "alert"))
+_O = "PARTITION BY vt_symbol ORDER BY datetime"
+_PRE = lambda n, skip=0: f"({_O} ROWS BETWEEN {n - 1 + skip} PRECEDING AND {f'{skip} PRECEDING' if skip else 'CURRENT ROW'})"
+register("factor_reversal", lambda s, d: rounded(factors.price_volume_reversal(views.panel(s, d)).select(*KEY, "price_volume_reversal", "divergence_signal", "divergence_score"), 5, "price_volume_reversal", "divergence_score"),
+         f"""WITH {_FAC}, g AS (SELECT *, CASE WHEN c1 > 0 AND close > 0 AND v1 > 0 AND volume >= 0 THEN close / c1 END AS p, CASE WHEN c1 > 0 AND close > 0 AND v1 > 0 AND volume >= 0 THEN ln(volume / v1 + 1) END AS v, close / nullif(lag(close, 20) OVER o, 0) - 1 AS dp, volume / nullif(lag(volume, 20) OVER o, 0) - 1 AS dv FROM f1 WINDOW o AS ({_O})),
+  q AS (SELECT *, count(p) OVER w = 20 AS fine, covar_pop(p, v) OVER w AS c, stddev_pop(p) OVER w * stddev_pop(v) OVER w AS s FROM g WINDOW w AS {_PRE(20)}),
+  k AS (SELECT *, CASE WHEN NOT fine THEN 'UNKNOWN' WHEN dp <= -0.02 AND dv >= 0.2 THEN 'BULLISH_DIVERGENCE' WHEN dp >= 0.02 AND dv <= -0.2 THEN 'BEARISH_DIVERGENCE' WHEN dp <= -0.02 AND dv <= -0.2 THEN 'SELLING_EXHAUSTION' WHEN dp >= 0.02 AND dv >= 0.2 THEN 'TREND_CONFIRMATION' ELSE 'NEUTRAL' END AS divergence_signal FROM q)
+  SELECT datetime, vt_symbol, divergence_signal, {_r('CASE WHEN fine THEN CASE WHEN s > 0 THEN -c / s ELSE 0 END END', 5, 'price_volume_reversal')},
+  {_r("CASE divergence_signal WHEN 'BULLISH_DIVERGENCE' THEN abs(dp) + dv WHEN 'SELLING_EXHAUSTION' THEN abs(dp) * 0.5 + abs(dv) * 0.5 WHEN 'TREND_CONFIRMATION' THEN dp + dv * 0.25 WHEN 'BEARISH_DIVERGENCE' THEN -(dp + abs(dv)) WHEN 'NEUTRAL' THEN 0 END", 5, 'divergence_score')} FROM k""")
+
+
+def _fade_sql(n: int, before: str, columns: str) -> str:
+    """Fades over ``n`` bars, ``before`` being the volume they are compared with."""
+    return f"""WITH {PANEL_SQL}, q AS (SELECT *, row_number() OVER o AS rn, lag(open, {n - 1}) OVER o AS s, max(high) OVER w AS h, min(low) OVER w AS l, sum(volume) OVER w AS v, {before} OVER b AS base FROM panel WINDOW o AS ({_O}), w AS {_PRE(n)}, b AS {_PRE(20, n)}),
+  p AS (SELECT *, rn >= {20 + n} AND s > 0 AND l > 0 AND h > l AND close > 0 AND base > 0 AS fine FROM q),
+  k AS (SELECT *, CASE WHEN fine THEN (h - s) / s * ((h - close) / h) * ((h - close) / (h - l)) * (v / base) END AS x, coalesce(fine AND (h - s) / s >= 0.02 AND (h - close) / h >= 0.01 AND (h - close) / (h - l) >= 0.6 AND v / base >= 1.5, false) AS fade_signal FROM p)
+  SELECT datetime, vt_symbol, {_r('x', 6, 'fade_score')}, fade_signal{columns} FROM k"""
+
+
+register("factor_fade", lambda s, d: rounded(factors.confirmed(factors.intraday_fade(views.panel(s, d)), times=2).select(*KEY, "fade_score", "fade_signal", "confirmed"), 6, "fade_score"),
+         _fade_sql(20, "sum(CASE WHEN volume > 0 THEN volume END)", f", sum(CAST(fade_signal AS INT)) OVER {_PRE(2)} = 2 AS confirmed"))
+register("factor_fade_single", lambda s, d: rounded(factors.intraday_fade(views.panel(s, d), single=True).select(*KEY, "fade_score", "fade_signal"), 6, "fade_score"),
+         _fade_sql(1, "avg(CASE WHEN volume > 0 THEN volume END)", ""))
+register("factor_volume_stall", lambda s, d: rounded(factors.volume_stall(views.panel(s, d)).select(*KEY, "stall_score", "stall_signal"), 5, "stall_score"),
+         f"""WITH {PANEL_SQL}, q AS (SELECT *, avg(volume) OVER b AS base, count(volume) OVER b AS n FROM panel WINDOW b AS {_PRE(20, 1)}),
+  p AS (SELECT *, CASE WHEN base > 0 AND n = 20 THEN volume / base END AS v, CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS place, CASE WHEN high > low THEN (high - greatest(open, close)) / (high - low) ELSE 0 END AS shadow FROM q),
+  k AS (SELECT *, v * (0.7 * (1 - place) + 0.3 * shadow) AS x FROM p) SELECT datetime, vt_symbol, {_r('x', 5, 'stall_score')}, coalesce(v >= 1.5 AND x >= 1.0, false) AS stall_signal FROM k""")
+
+
+def _inflection(spark, sf_dir):
+    """MACD here is the difference of simple means of 12 and 26 closes, as ``apo``."""
+    return factors.inflection_entry(factors.inflection_sample(evaluate(views.panel(spark, sf_dir), {"macd": "ts_mean(close, 12) - ts_mean(close, 26)"})))
+
+
+_INFLECTION = ("return_1d", "volume_ratio_10", "drawdown_120", "distance_from_low")
+register("factor_inflection", lambda s, d: rounded(_inflection(s, d).select(*KEY, *_INFLECTION, "macd_bottom_divergence", "support_hold_after_surge", "entry"), 5, *_INFLECTION),
+         f"""WITH {PANEL_SQL}, f AS (SELECT *, close / nullif(lag(close) OVER o, 0) - 1 AS return_1d, avg(volume) OVER p10 AS base, 1 - close / max(close) OVER w120 AS drawdown_120, close / min(low) OVER w20 - 1 AS distance_from_low, avg(close) OVER w12 - avg(close) OVER w26 AS macd, row_number() OVER o AS rn
+    FROM panel WINDOW o AS ({_O}), p10 AS {_PRE(10, 1)}, w120 AS {_PRE(120)}, w20 AS {_PRE(20)}, w12 AS {_PRE(12)}, w26 AS {_PRE(26)}),
+  g AS (SELECT *, CASE WHEN base > 0 THEN volume / base END AS volume_ratio_10 FROM f),
+  h AS (SELECT *, coalesce(rn >= 30 AND min(close) OVER a < min(close) OVER b AND min(macd) OVER a > min(macd) OVER b, false) AS macd_bottom_divergence,
+    coalesce(close >= last_value(CASE WHEN return_1d >= 0.08 AND volume_ratio_10 >= 2.5 THEN open END IGNORE NULLS) OVER c, false) AS support_hold_after_surge FROM g WINDOW a AS {_PRE(10)}, b AS {_PRE(20, 10)}, c AS {_PRE(5)})
+  SELECT datetime, vt_symbol, {', '.join(_r(c, 5, c) for c in _INFLECTION)}, macd_bottom_divergence, support_hold_after_surge,
+    coalesce(drawdown_120 >= 0.45 AND macd_bottom_divergence AND return_1d >= 0.08 AND volume_ratio_10 >= 2.5 AND distance_from_low <= 0.15 AND support_hold_after_surge, false) AS entry FROM h""")
+register("factor_alert", lambda s, d: factors.bar_alert(views.panel(s, d)).where("alert is not null").select(*KEY, "alert", "push"),
+         f"""WITH {_FAC}, q AS (SELECT *, avg(close) OVER w5 AS m5, avg(close) OVER w10 AS m10, avg(volume) OVER w5 AS base FROM f1 WINDOW w5 AS {_PRE(5)}, w10 AS {_PRE(10)}),
+  p AS (SELECT *, CASE WHEN base > 0 THEN volume / base ELSE 0 END >= 2 AS loud, close > m5 AND m5 > m10 AS up, close < m5 AND m5 < m10 AS down, abs(CASE WHEN c1 > 0 THEN close / c1 - 1 ELSE 0 END) >= 0.01 AS moved FROM q WHERE rn >= 10)
+  SELECT datetime, vt_symbol, CASE WHEN up AND loud THEN 'VOLUME_UP' WHEN down AND loud THEN 'VOLUME_DOWN' WHEN up THEN 'MEANS_UP' WHEN down THEN 'MEANS_DOWN' ELSE 'NORMAL' END AS alert, up OR down OR moved OR loud AS push FROM p""")
 register("factor_label", lambda s, d: rounded(factors.future_return(views.panel(s, d)).select(*KEY, "future_ret_5"), 6, "future_ret_5"),
          f"WITH {PANEL_SQL}, q AS (SELECT datetime, vt_symbol, lead(close, 5) OVER (PARTITION BY vt_symbol ORDER BY datetime) / close - 1 AS v FROM panel) SELECT datetime, vt_symbol, {_r('v', 6, 'future_ret_5')} FROM q")
-register("factor_signal", lambda s, d: factors.position_signal(factors.ml_signal(_catalogue(s, d))).select(*KEY, "signal", "target"))
+register("factor_signal", lambda s, d: factors.position_signal(factors.ml_signal(_catalogue(s, d))).select(*KEY, "signal", "target"),
+         f"""WITH {_FAC}, q AS (SELECT *, CASE WHEN count(r1) OVER w = 20 THEN stddev_pop(r1) OVER w END AS dev, avg(volume) OVER w10 AS m FROM f1 WINDOW w AS {_PRE(20)}, w10 AS {_PRE(10)}),
+  p AS (SELECT *, CASE WHEN m > 0 THEN volume / m ELSE 0 END AS r FROM q WHERE rn >= 2),
+  k AS (SELECT *, CASE WHEN r5 >= 0.001 AND r >= 1.2 AND dev <= 0.03 THEN 'BUY' WHEN r5 <= -0.001 OR (close < c1 AND r >= 1.5) THEN 'SELL' END AS signal FROM p)
+  SELECT datetime, vt_symbol, signal, CASE WHEN signal = 'BUY' THEN 'LONG' ELSE 'FLAT' END AS target FROM k WHERE signal IS NOT NULL""")
 register("factor_score", lambda s, d: rounded(factors.score(evaluate(views.panel(s, d), {"a": "close / open - 1", "b": "volume / 100"}, keep=KEY), {"a": 3, "b": 1}, 10).select(*KEY, "total_score"), 5, "total_score"),
          f"WITH {PANEL_SQL}, q AS (SELECT datetime, vt_symbol, 75 * greatest(least(close / open - 1, 1), 0) + 25 * greatest(least(volume / 100, 1), 0) AS v FROM panel) SELECT datetime, vt_symbol, {_r('v', 5, 'total_score')} FROM q WHERE v >= 10")
 register("factor_long_form", lambda s, d: rounded(factors.long_form(factors.momentum(views.panel(s, d)), {"momentum_5": "momentum"}).withColumnsRenamed({"trade_date": "datetime"}), 6, "value"),

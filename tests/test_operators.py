@@ -82,7 +82,7 @@ def test_resampling(spark):
 
 
 def test_factor_signals(spark):
-    sample = spark.createDataFrame([("UP", 0.01, 2.0, "NORMAL", 0.01, "NEUTRAL")], "momentum_trend string, momentum double, volume_ratio double, volume_level string, volatility double, price_volume_signal string")
+    sample = spark.createDataFrame([("UP", 0.01, 2.0, "NORMAL_VOLUME", 0.01, "NEUTRAL")], "momentum_trend string, momentum double, volume_ratio double, volume_level string, volatility double, price_volume_signal string")
     assert [r["target"] for r in factors.position_signal(factors.ml_signal(sample)).collect()] == ["LONG"]
     scored = factors.score(spark.createDataFrame([(2.0, -1.0), (0.1, 0.0)], "a double, b double"), {"a": 3, "b": 1}, 10)
     assert [r["total_score"] for r in scored.collect()] == [75]
@@ -92,6 +92,15 @@ def test_factor_signals(spark):
     assert [r["momentum_trend"] for r in out[:5]] == ["UNKNOWN"] * 5 and out[5]["momentum_trend"] != "UNKNOWN"
 
 
+def test_inflection_positions(spark):
+    days = [dt.datetime(2024, 1, d) for d in range(1, 8)]
+    closes, entries = [10.0, 10.0, 9.8, 9.7, None, 10.0, 10.6], [False, True, True, True, False, True, True]
+    df = spark.createDataFrame([(d, "a", c, e) for d, c, e in zip(days, closes, entries, strict=True)], "datetime timestamp_ntz, vt_symbol string, close double, entry boolean")
+    out = factors.inflection_signals(df).orderBy("datetime").collect()  # in at 10, held at 9.8, out at the stop, in again, out at the profit
+    assert [(r["datetime"].day, r["direction"]) for r in out] == [(2, "LONG"), (4, "FLAT"), (6, "LONG"), (7, "FLAT")]
+    assert factors.inflection_signals(df.where("false")).count() == 0
+
+
 def test_daily_selection(spark):
     days = pd.bdate_range("2026-01-01", periods=100)
     growth = {"c1": 1.002, "c2": 1.001, "c3": 1.003}
@@ -126,6 +135,19 @@ def test_matching():
     assert any(t[1] == "b" and t[2] == "LONG" for t in trades) and any(t[1] == "a" and t[2] == "SHORT" for t in trades)
 
 
+def test_rotation_buys_for_all_that_are_to_go():
+    days = pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03"])
+    signals = {"a": (3.0, 0.0, 0.0), "b": (2.0, 1.0, 1.0), "c": (1.0, 2.0, 2.0)}
+    rows = [(d, s, 10.0, 10.2, 9.8, 10.0, x[i]) for i, d in enumerate(days) for s, x in signals.items()]
+    frame = pd.DataFrame(rows, columns=["datetime", "vt_symbol", "open", "high", "low", "close", "signal"])
+    trades = backtest.simulate(frame, backtest.Rotation(top=1, drop=1, min_days=3, capital=10_000))
+    # "a" is too young to go on the second day, yet "c" is bought in its place, from what cash is left.
+    assert [(t[0], t[1], t[2], t[4]) for t in trades] == [(days[1], "a", "LONG", 1000.0)]
+    more = backtest.simulate(frame, backtest.Rotation(top=1, drop=1, min_days=1, capital=10_000))
+    # 950 units round to 1000, which with the commission leave -5 in cash; 10,000 less 15 come in: 9980 * 0.95 / 10 is 948.1, the nearest hundred 900.
+    assert [(t[0], t[1], t[2], t[4]) for t in more] == [(days[1], "a", "LONG", 1000.0), (days[2], "a", "SHORT", 1000.0), (days[2], "c", "LONG", 900.0)]
+
+
 def test_search(spark):
     axes = {"x": (0, 4, 1), "y": (0, 2, 1)}
     assert len(backtest.grid(axes)) == 15
