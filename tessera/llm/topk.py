@@ -76,12 +76,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
 
     A query is no candidate of its own, known by its id. Vectors that are null, empty or hold null or non-finite parts,
     and rows without an id, take no part; vectors of another dimension than the query's are not scored. Repeated
-    candidates all count; of queries that repeat an id the least vector is taken. No rows give no rows.
+    candidates all count; of queries that repeat an id the least valid vector is taken. No rows give no rows.
     """
     spark = candidates.sparkSession
     rows = take(candidates, id=id_col, embedding=vector_col).select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
     asked = take(queries, id=id_col, embedding=vector_col).select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
-    asked = asked.where("id is not null and embedding is not null").groupBy("id").agg(F.min("embedding").alias("embedding"))
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (F.size("embedding") > 0)
+    asked = asked.where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False))).groupBy("id").agg(F.min("embedding").alias("embedding"))
     out, last = scratch_path(spark, "topk"), None
     schema = "query_id long, rank int, vec_id long, score long"
     while found := (asked if last is None else asked.where(F.col("id") > last)).orderBy("id").limit(QUERY_BLOCK).collect():

@@ -42,6 +42,8 @@ def test_top_k_edges(spark):
     assert topk.top_k(none, none).count() == 0
     few = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (2, [2.0])], schema)
     assert {tuple(r) for r in topk.top_k(few, few.where("vec_id = 1"), 10).collect()} == {(1, 1, 2, 2097152), (1, 2, 2, 2097152)}
+    twice = spark.createDataFrame([(100, [float("-inf"), 1.0]), (100, [1.0, 1.0]), (100, [None, 0.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 100"), 10).collect()] == [(100, 1, 7, 1048576)]
     huge = topk.products(np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 1.0], [2.0**20, 1.0]]))
     assert huge.tolist() == [[(1 << 63) - 1, (1 << 60) + 3]]
 

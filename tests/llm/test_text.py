@@ -60,6 +60,9 @@ def test_scan(spark, documents):
     assert f"key:2:{2 + n}" in out[0].split(",") and f"key:2:{2 + 2 * len(RSA)}" in out[1].split(",")
     assert f"pem:0:{len(pem)}" in out[2].split(",") and f"jwt:2:{2 + len(JWT)}" in out[3].split(",")
     assert not any(k in x for x in out[4:] for k in ("key", "jwt", "pem"))
+    broken = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{\r\n  "alg": "ES256"}', b' {"sub":1}', b"signature"))
+    spaced = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b' {"alg":"ES256"}', b"{}", b"s"))
+    assert [r["spans"] for r in secrets.scan(documents([broken, spaced])).orderBy("doc_id").collect()] == [f"jwt:0:{len(broken)}", f"jwt:0:{len(spaced)}"]
     assert secrets.scan(documents([])).count() == 0
     assert hashlib.sha256(b"").hexdigest() == secrets.scan(documents([None])).select(F.sha2("base_spans", 256)).first()[0]
 
