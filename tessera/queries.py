@@ -409,6 +409,73 @@ register("array_statistics", _window_stats, f"""WITH {PANEL_SQL}, n AS (SELECT *
     (max(CASE WHEN back = 1 THEN close END) - avg(close)) / stddev_pop(close) AS z, max(CASE WHEN back = 1 THEN close END) / max(CASE WHEN back = 6 THEN close END) - 1 AS momentum, stddev_pop(r) AS volatility FROM k GROUP BY 1)
   SELECT vt_symbol, {', '.join(_r(c, 2, c) for c in ('mean', 'variance', 'covariance', 'slope', 'p30'))}, {', '.join(_r(c, 5, c) for c in ('correlation', 'z', 'momentum', 'volatility'))} FROM q""")
 
+# Recursive indicators in SQL: a recursive table steps through all symbols' rows at once. Prices of the panel have no nulls.
+
+
+def _smooth_sql(name: str, source: str, x: str, n: int, alpha: float) -> str:
+    """Tables up to ``name(vt_symbol, rn, v)``: from the mean of the first ``n`` values of ``x`` on, each value moves by ``alpha`` of its distance."""
+    return f"""{name}_x AS MATERIALIZED (SELECT vt_symbol, rn, x, row_number() OVER (PARTITION BY vt_symbol ORDER BY rn) AS k FROM (SELECT vt_symbol, rn, {x} AS x FROM {source}) t WHERE x IS NOT NULL),
+  {name}_r AS (SELECT vt_symbol, CAST({n} AS BIGINT) AS k, avg(x) AS v FROM {name}_x WHERE k <= {n} GROUP BY 1 HAVING count(*) = {n}
+    UNION ALL SELECT r.vt_symbol, r.k + 1, r.v + {alpha!r} * (s.x - r.v) FROM {name}_r r JOIN {name}_x s ON s.vt_symbol = r.vt_symbol AND s.k = r.k + 1),
+  {name} AS MATERIALIZED (SELECT s.vt_symbol, s.rn, r.v FROM {name}_r r JOIN {name}_x s ON s.vt_symbol = r.vt_symbol AND s.k = r.k)"""
+
+
+def _running_sql(name: str, source: str, x: str, n: int) -> str:
+    """Tables up to ``name(vt_symbol, rn, v)``: the sum of the values of rows 2 to ``n``, then less its nth part plus the row's value."""
+    return f"""{name}_r AS (SELECT vt_symbol, CAST({n} AS BIGINT) AS rn, sum({x}) AS v FROM {source} WHERE rn BETWEEN 2 AND {n} GROUP BY 1 HAVING count(*) = {n - 1}
+    UNION ALL SELECT r.vt_symbol, r.rn + 1, r.v + s.{x} - r.v / {n} FROM {name}_r r JOIN {source} s ON s.vt_symbol = r.vt_symbol AND s.rn = r.rn + 1),
+  {name} AS MATERIALIZED (SELECT * FROM {name}_r)"""
+
+
+_BASE = f"""{PANEL_SQL}, t0 AS (SELECT *, row_number() OVER o AS rn, close - lag(close) OVER o AS d, high - lag(high) OVER o AS u, lag(low) OVER o - low AS e, lag(close) OVER o AS c1 FROM panel WINDOW o AS (PARTITION BY vt_symbol ORDER BY datetime)),
+  t AS MATERIALIZED (SELECT *, CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr, greatest(d, 0) + 0 * d AS up, greatest(-d, 0) + 0 * d AS down,
+    CASE WHEN u IS NOT NULL THEN CASE WHEN u > e AND u > 0 THEN u ELSE 0 END END AS plus, CASE WHEN u IS NOT NULL THEN CASE WHEN e > u AND e > 0 THEN e ELSE 0 END END AS minus FROM t0)"""
+
+
+def _folded(name: str, tables: list[str], values: dict[str, str], digits: int, rows: str = "t", joined: tuple[str, ...] = ()) -> None:
+    """SQL of the query ``name``: ``values`` over ``rows`` and the tables ``joined``, each by symbol and row number, after ``tables``."""
+    joins = " ".join(f"LEFT JOIN {j} ON {j}.vt_symbol = {rows}.vt_symbol AND {j}.rn = {rows}.rn" for j in joined)
+    ORACLES[name] = f"WITH RECURSIVE {', '.join([_BASE, *tables])} SELECT {rows}.datetime, {rows}.vt_symbol, {', '.join(_r(v, digits, n) for n, v in values.items())} FROM {rows} {joins}"
+
+
+def _over(a: str, b: str, scale: str = "100") -> str:
+    return f"CASE WHEN {b} = 0 THEN 0 ELSE {scale} * ({a}) / ({b}) END"
+
+
+_BY = "PARTITION BY vt_symbol ORDER BY rn"
+_ATR = _smooth_sql("a", "t", "tr", 14, 1 / 14)
+_MOVES = [_smooth_sql("a", "t", "up", 14, 1 / 14), _smooth_sql("b", "t", "down", 14, 1 / 14)]
+_DIRECTED = [_running_sql(n, "t", x, 14) for n, x in (("a", "plus"), ("b", "minus"), ("c", "tr"))]
+_DX = [*_DIRECTED, f"i AS (SELECT a.vt_symbol, a.rn, {_over('a.v', 'c.v')} AS p, {_over('b.v', 'c.v')} AS m FROM a JOIN b ON a.vt_symbol = b.vt_symbol AND a.rn = b.rn JOIN c ON a.vt_symbol = c.vt_symbol AND a.rn = c.rn WHERE a.rn > 14)", f"dx AS MATERIALIZED (SELECT *, {_over('abs(p - m)', 'p + m')} AS v FROM i)"]
+_ADX = [*_DX, _smooth_sql("x", "dx", "v", 14, 1 / 14)]
+_folded("ind_ema", [_smooth_sql("a", "t", "close", 14, 2 / 15)], {"value": "a.v"}, 4, joined=("a",))
+_folded("ind_atr", [_ATR], {"value": "a.v"}, 4, joined=("a",))
+_folded("ind_natr", [_ATR], {"value": f"CASE WHEN a.v IS NOT NULL THEN {_over('a.v', 'close')} END"}, 4, joined=("a",))
+_folded("ind_rsi", _MOVES, {"value": _over("a.v", "a.v + b.v")}, 4, joined=("a", "b"))
+_folded("ind_cmo", _MOVES, {"value": _over("a.v - b.v", "a.v + b.v")}, 4, joined=("a", "b"))
+_folded("ind_trix", [_smooth_sql("a", "t", "close", 14, 2 / 15), _smooth_sql("b", "a", "v", 14, 2 / 15), _smooth_sql("c", "b", "v", 14, 2 / 15), f"e AS (SELECT *, lag(v) OVER ({_BY}) AS v1 FROM c)"], {"value": _over("e.v - e.v1", "e.v1")}, 4, joined=("e",))
+_folded("ind_macd", [_smooth_sql("a", "t", "CASE WHEN rn > 14 THEN close END", 12, 2 / 13), _smooth_sql("b", "t", "close", 26, 2 / 27), "l AS MATERIALIZED (SELECT a.vt_symbol, a.rn, a.v - b.v AS v FROM a JOIN b ON a.vt_symbol = b.vt_symbol AND a.rn = b.rn)", _smooth_sql("m", "l", "v", 9, 0.2)],
+        {"value_line": "CASE WHEN m.v IS NOT NULL THEN l.v END", "value_signal": "m.v", "value_hist": "l.v - m.v"}, 4, joined=("l", "m"))
+_folded("ind_plus_dm", _DIRECTED[:1], {"value": "a.v"}, 4, joined=("a",))
+_folded("ind_minus_dm", _DIRECTED[1:2], {"value": "b.v"}, 4, joined=("b",))
+_folded("ind_plus_di", _DX, {"value": "dx.p"}, 4, joined=("dx",))
+_folded("ind_minus_di", _DX, {"value": "dx.m"}, 4, joined=("dx",))
+_folded("ind_dx", _DX, {"value": "dx.v"}, 4, joined=("dx",))
+_folded("ind_adx", _ADX, {"value": "x.v"}, 4, joined=("x",))
+_folded("ind_adxr", [*_ADX, f"y AS (SELECT *, lag(v, 13) OVER ({_BY}) AS v13 FROM x)"], {"value": "(y.v + y.v13) / 2"}, 4, joined=("y",))
+_folded("ind_keltner", [_ATR, f"m AS (SELECT vt_symbol, rn, avg(close) OVER ({_BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS v FROM t)"], {"value_up": "m.v + 2 * a.v", "value_down": "m.v - 2 * a.v"}, 4, joined=("a", "m"))
+_folded("ind_adosc", [f"ad AS MATERIALIZED (SELECT vt_symbol, rn, sum(CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) * volume END) OVER ({_BY} ROWS UNBOUNDED PRECEDING) AS v FROM t)", _smooth_sql("a", "ad", "v", 1, 0.5), _smooth_sql("b", "ad", "v", 1, 2 / 11)],
+        {"value": "CASE WHEN t.rn >= 10 THEN a.v - b.v END"}, 4, joined=("a", "b"))
+_folded("ind_stoch", [f"s AS (SELECT vt_symbol, rn, close, max(high) OVER w AS h, min(low) OVER w AS l FROM t WINDOW w AS ({_BY} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW))", f"f AS (SELECT *, CASE WHEN rn >= 9 THEN {_over('close - l', 'h - l')} END AS raw FROM s)",
+        f"k AS (SELECT *, CASE WHEN rn >= 11 THEN avg(raw) OVER w END AS k FROM f WINDOW w AS ({_BY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))", f"d AS (SELECT vt_symbol, rn, k, CASE WHEN rn >= 13 THEN avg(k) OVER w END AS d FROM k WINDOW w AS ({_BY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"],
+        {"value_k": "CASE WHEN d.d IS NOT NULL THEN d.k END", "value_d": "d.d"}, 4, joined=("d",))
+_folded("ind_kama", [f"""g AS (SELECT *, abs(close - lag(close, 14) OVER ({_BY})) AS far, sum(abs(d)) OVER ({_BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS noise FROM t),
+  c AS MATERIALIZED (SELECT vt_symbol, rn, close, pow(CASE WHEN noise > 0 THEN far / noise ELSE 1 END * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS a FROM g),
+  r AS (SELECT vt_symbol, rn, close AS v FROM c WHERE rn = 14 UNION ALL SELECT r.vt_symbol, r.rn + 1, r.v + c.a * (c.close - r.v) FROM r JOIN c ON c.vt_symbol = r.vt_symbol AND c.rn = r.rn + 1)"""], {"value": "CASE WHEN t.rn > 14 THEN r.v END"}, 4, joined=("r",))
+_folded("ta_rsi", _MOVES, {"value": _over("a.v", "a.v + b.v")}, 4, joined=("a", "b"))
+_folded("ta_atr", [_ATR], {"value": "a.v"}, 4, joined=("a",))
+
+
 # Factors, signals, accounts.
 
 
