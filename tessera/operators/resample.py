@@ -13,16 +13,22 @@ def _ohlc(first: Column, high: Column, low: Column, last: Column, by: Column) ->
     return [F.min_by(first, by).alias("open"), F.max(high).alias("high"), F.min(low).alias("low"), F.max_by(last, by).alias("close")]
 
 
-def tick_steps(ticks: DataFrame, sequence: str = "event_id") -> DataFrame:
-    """Ticks with a price, and ``dv``: the rise of cumulative volume since the symbol's previous tick, not below 0; 0 for the first."""
+def tick_steps(ticks: DataFrame, sequence: str = "event_id", unpriced: bool = False) -> DataFrame:
+    """Ticks with a price, and ``dv``: the rise of cumulative volume since the symbol's previous tick, not below 0; 0 for the first.
+
+    The previous tick is the last one with a price, so what ticks without one traded goes to the next; with ``unpriced``
+    it is the last one of any price, so it goes to no bar.
+    """
     order = W.partitionBy("vt_symbol").orderBy("datetime", sequence)
-    step = F.greatest(F.col("volume") - F.lag("volume").over(order), F.lit(0.0))
-    return ticks.where("last_price > 0").withColumn("dv", F.coalesce(step, F.lit(0.0)))
+    step = F.coalesce(F.greatest(F.col("volume") - F.lag("volume").over(order), F.lit(0.0)), F.lit(0.0))
+    if unpriced:
+        return ticks.withColumn("dv", step).where("last_price > 0")
+    return ticks.where("last_price > 0").withColumn("dv", step)
 
 
-def bars_from_ticks(ticks: DataFrame, minutes: int = 1, sequence: str = "event_id") -> DataFrame:
-    """Bars of whole minutes. A session high or low column, where the ticks have one, widens the bar when it improves."""
-    steps = tick_steps(ticks, sequence)
+def bars_from_ticks(ticks: DataFrame, minutes: int = 1, sequence: str = "event_id", unpriced: bool = False) -> DataFrame:
+    """Bars of whole minutes; ``unpriced`` is as in ``tick_steps``. A session high or low column, where the ticks have one, widens the bar when it improves."""
+    steps = tick_steps(ticks, sequence, unpriced)
     order = W.partitionBy("vt_symbol").orderBy("datetime", sequence)
     high = low = F.col("last_price")
     if "high_price" in ticks.columns:

@@ -81,6 +81,23 @@ def test_resampling(spark):
     assert filled.where("filled").count() == 1 and filled.where("filled and volume = 0 and open = close").count() == 1
 
 
+def test_volume_of_ticks_without_a_price(spark, tmp_path):
+    import duckdb
+
+    from tessera.queries import ORACLES, QUERIES
+
+    t = dt.datetime(2024, 1, 1, 9, 0)
+    rows = [(i, t + dt.timedelta(seconds=s), "a", v) for i, (s, v) in enumerate([(0, 3.0), (20, 0.0), (40, 5.0), (70, 0.0), (130, 4.0), (4000, 0.0), (90000, 2.0)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as sql:
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        for name in ("bars_minute", "bars_15_minutes", "bars_hour", "bars_day"):
+            want = sql.execute(f"SELECT datetime, volume, n_ticks FROM ({ORACLES[name]}) ORDER BY datetime").fetchall()
+            assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("datetime", "volume", "n_ticks").orderBy("datetime").collect()] == want, name
+    ticks = spark.createDataFrame([(r[1], "a", r[3], r[0], float(r[0] + 1)) for r in rows], "datetime timestamp_ntz, vt_symbol string, last_price double, event_id long, volume double")
+    assert [r["volume"] for r in resample.bars_from_ticks(ticks).orderBy("datetime").collect()] == [2.0, 2.0, 2.0]  # by itself the operator adds them to the next tick's
+
+
 def test_factor_signals(spark):
     sample = spark.createDataFrame([("UP", 0.01, 2.0, "NORMAL_VOLUME", 0.01, "NEUTRAL")], "momentum_trend string, momentum double, volume_ratio double, volume_level string, volatility double, price_volume_signal string")
     assert [r["target"] for r in factors.position_signal(factors.ml_signal(sample)).collect()] == ["LONG"]
