@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import topk
 from tessera.llm.decontaminate import contaminated, drop_contaminated
-from tessera.llm.line_dedup import dedup_lines, marked, once, similar_groups, strip_lines, told_apart
+from tessera.llm.line_dedup import dedup_lines, keys, marked, once, similar_groups, strip_lines, told_apart
 
 
 def plain_top(vectors, k, queries):
@@ -159,6 +159,34 @@ def test_line_dedup_finds_all_similar_lines(spark, documents):
     assert {tuple(r) for r in similar_groups(once(*told_apart(said))).collect()} == expected and len(expected) > 100
 
 
+def test_similar_lines_always_share_a_key(spark):
+    rng = random.Random(14)
+    long, short = [f"{'w' * rng.randrange(1, 6)}{i}" for i in range(3000)] + ["of", "the", "a", "to"] * 300, [str(i) for i in range(999)]
+    nodes = []
+    for n in [*range(4, 40), *range(40, 200, 4), 400, 1500]:
+        for kind in [*range(6)] * 2:
+            vocab = long if len(nodes) % 4 else short
+            w = words(rng, n, vocab)
+            v = w[:]
+            if kind == 0:  # words put in, as many as the longer line allows
+                more = next(d for d in range(n, -1, -1) if d <= 0.2 * (n + d) + 1e-9)
+                for at in sorted((rng.randrange(n) for _ in range(more)), reverse=True):
+                    v.insert(at, rng.choice(vocab))
+            else:  # every fifth, or any, changed, taken out, or put elsewhere
+                most = int(0.2 * n + 1e-9)
+                at = list(range(2, n, 5))[:most] if kind < 3 else sorted(rng.sample(range(n), most))
+                for i in reversed(at):
+                    v[i : i + 1] = [] if kind == 2 else [rng.choice(vocab)]
+                if kind == 5 and most > 1:
+                    v = w[:]
+                    for _ in range(most // 2):
+                        v.insert(rng.randrange(len(v)), v.pop(rng.randrange(len(v))))
+            nodes += [(2 * (len(nodes) // 2) + j, len(x), " ".join(x)) for j, x in enumerate((w, v))]
+    found = keys(spark.createDataFrame(nodes, "id long, n int, norm string"), 0.8).groupBy(F.expr("id div 2").alias("pair"), "key").agg(F.countDistinct("id").alias("both"))
+    met = {r["pair"] for r in found.where("both = 2").select("pair").distinct().collect()}
+    assert {a // 2 for (a, _, x), (_, _, y) in zip(nodes[::2], nodes[1::2], strict=True) if x != y} <= met
+
+
 def test_line_dedup_recall_over_whole_table(spark):
     """All pairs by edit similarity alone (those of lines that share no two neighbouring words aside) against groups found."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
