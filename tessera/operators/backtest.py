@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,75 +46,131 @@ def to_tick(price: float, tick: float) -> float:
     return float((Decimal(str(price)) / step).to_integral_value(ROUND_HALF_EVEN) * step)
 
 
-def simulate(rows: pd.DataFrame, rule: Rotation) -> list[tuple]:
-    """Trades ``(datetime, vt_symbol, direction, price, volume)`` of one portfolio over bars with a ``signal`` column.
+class Book:
+    """One portfolio on its way through the bars: ``day`` takes those of one time and returns the trades they bring.
 
     Orders made on a bar are matched on the next ones: a buy fills whole at ``min(order, open)`` if it is not below the
     low and the low is under the upper price limit; a sale mirrors that. A symbol without a bar keeps its last close and
-    does not trade. Open orders are cancelled before new ones are made.
+    does not trade. Open orders are cancelled before new ones are made. Of symbols neither held nor ordered nothing is kept.
     """
-    cash, held, age, last, orders, trades = rule.capital, {}, {}, {}, [], []
-    for when, bars in rows.sort_values(["datetime", "vt_symbol"], kind="stable").groupby("datetime", sort=True):
-        now = {b.vt_symbol: b for b in bars.itertuples()}
-        rest = []
-        for symbol, side, price, volume in orders:
-            bar = now.get(symbol)
-            before = last.get(symbol)
-            if bar is None or before is None:
+
+    def __init__(self, rule: Rotation):
+        self.rule, self.cash, self.held, self.age, self.last, self.orders = rule, rule.capital, {}, {}, {}, []
+
+    def day(self, when, symbols: list[str], bars: Mapping[str, np.ndarray]) -> list[tuple]:
+        """``symbols`` in ascending order, ``bars`` their open, high, low, close and signal; of a symbol twice the last counts."""
+        rule, held, age, last = self.rule, self.held, self.age, self.last
+        now = {s: i for i, s in enumerate(symbols)}
+        rest, trades = [], []
+        for symbol, side, price, volume in self.orders:
+            i, before = now.get(symbol), last.get(symbol)
+            if i is None or before is None:
                 rest.append((symbol, side, price, volume))
                 continue
+            opened, high, low = (float(bars[c][i]) for c in ("open", "high", "low"))
             up, down = to_tick(before * (1 + rule.limit), rule.pricetick), to_tick(before * (1 - rule.limit), rule.pricetick)
-            if side == "LONG" and 0 < bar.low <= price and bar.low < up:
-                paid, rate, sign = min(price, bar.open), rule.long_rate, 1
-            elif side == "SHORT" and 0 < price <= bar.high and bar.high > down:
-                paid, rate, sign = max(price, bar.open), rule.short_rate, -1
+            if side == "LONG" and 0 < low <= price and low < up:
+                paid, rate, sign = min(price, opened), rule.long_rate, 1
+            elif side == "SHORT" and 0 < price <= high and high > down:
+                paid, rate, sign = max(price, opened), rule.short_rate, -1
             else:
                 rest.append((symbol, side, price, volume))
                 continue
             value = paid * volume * rule.size
-            cash -= sign * value + value * rate
+            self.cash -= sign * value + value * rate
             held[symbol] = held.get(symbol, 0.0) + sign * volume
             if held[symbol] <= 0:
                 held.pop(symbol)
                 age.pop(symbol, None)
             trades.append((when, symbol, side, float(paid), float(volume)))
-        orders = rest
-        last |= {s: float(b.close) for s, b in now.items()}
+        last |= {s: float(bars["close"][now[s]]) for s in (*held, *(o[0] for o in rest)) if s in now}
         for symbol in held:
             age[symbol] = age.get(symbol, 0) + 1
 
-        ranked = sorted(((b.signal, s) for s, b in now.items() if pd.notna(b.signal)), key=lambda x: (-x[0], x[1]))
-        place = {s: i for i, (_, s) in enumerate(ranked)}
-        best = list(place)
-        union = sorted({s for s in held if s in place} | set(best[: rule.top]), key=place.__getitem__)
+        alone = np.fromiter(now.values(), "int64", len(now))
+        alone = alone[~np.isnan(bars["signal"][alone])]
+        ranked = alone[np.argsort(-bars["signal"][alone], kind="stable")]
+        place = np.full(len(symbols), -1, "int64")
+        place[ranked] = np.arange(len(ranked))
+        at = {s: int(place[now[s]]) for s in held if s in now and place[now[s]] >= 0}
+        union = sorted({*at.values(), *range(min(rule.top, len(ranked)))})
         worst = set(union[max(0, len(union) - rule.drop) :])
-        sell = [s for s in held if s not in place or s in worst]
-        buy = [s for s in best if s not in held][: max(0, rule.top + len(sell) - len(held))]
-        orders, free = [], cash
+        sell = [s for s in held if s not in at or at[s] in worst]
+        wanted = max(0, rule.top + len(sell) - len(held))
+        buy = list(itertools.islice((s for s in (symbols[i] for i in ranked) if s not in held), wanted))
+        self.orders, free = [], self.cash
         for symbol in sell:
             if symbol in now and age[symbol] >= rule.min_days:
-                orders.append((symbol, "SHORT", to_tick(last[symbol] * (1 - rule.price_add), rule.pricetick), held[symbol]))
+                self.orders.append((symbol, "SHORT", to_tick(last[symbol] * (1 - rule.price_add), rule.pricetick), held[symbol]))
                 value = last[symbol] * held[symbol] * rule.size
                 free += value - max(value * rule.short_rate, rule.min_commission)
         for symbol in buy:
-            price = last[symbol]
+            price = last[symbol] = float(bars["close"][now[symbol]])
             if price > 0 and (volume := to_tick(free * rule.cash_ratio / len(buy) / (price * rule.size), rule.min_volume)) > 0:
-                orders.append((symbol, "LONG", to_tick(price * (1 + rule.price_add), rule.pricetick), volume))
+                self.orders.append((symbol, "LONG", to_tick(price * (1 + rule.price_add), rule.pricetick), volume))
+        wanted_still = {*held, *(o[0] for o in self.orders)}
+        self.last = {s: c for s, c in last.items() if s in wanted_still}
+        return trades
+
+
+def simulate(rows: pd.DataFrame, rule: Rotation) -> list[tuple]:
+    """Trades ``(datetime, vt_symbol, direction, price, volume)`` of one portfolio over bars with a ``signal`` column."""
+    book, trades = Book(rule), []
+    for when, bars in rows.sort_values(["datetime", "vt_symbol"], kind="stable").groupby("datetime", sort=True):
+        trades += book.day(when, bars["vt_symbol"].tolist(), {c: bars[c].to_numpy("float64", na_value=np.nan) for c in VALUES})
     return trades
 
 
+VALUES = ("open", "high", "low", "close", "signal")
+
+
+def _times(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(portfolio, datetime, symbols, values)`` for each portfolio and time of batches in their order, one at a time in memory."""
+    key, parts = None, []
+
+    def whole():
+        both = pa.Table.from_batches(parts)
+        values = {c: both[c].to_numpy() for c in VALUES}
+        return *key, both["vt_symbol"].to_pylist(), values
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        portfolio = batch["portfolio"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        time = batch["datetime"].cast(pa.int64()).to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(portfolio) != 0) | (np.diff(time) != 0)) + 1).tolist(), batch.num_rows]
+        for begin, end in itertools.pairwise(cuts):
+            here = (batch["portfolio"][begin].as_py(), batch["datetime"][begin].as_py())
+            if parts and here != key:
+                yield whole()
+                parts = []
+            key = here
+            parts.append(batch.slice(begin, end - begin))
+    if parts:
+        yield whole()
+
+
 def run(bars: DataFrame, rule: Rotation = Rotation(), portfolio: str | None = None) -> DataFrame:
     """Trades of each portfolio over ``bars(datetime, vt_symbol, open, high, low, close, signal[, portfolio])``.
 
-    A portfolio is one sequential task; many of them, as in a parameter search, run side by side.
+    A portfolio is one sequential task; many of them, as in a parameter search, run side by side. Bars come in sorted by
+    Spark, which spills; in memory are the bars of one time and what is held or ordered.
     """
     data = bars if portfolio else bars.withColumn("portfolio", F.lit("main"))
-    data = data.select(F.col(portfolio or "portfolio").cast("string").alias("portfolio"), "datetime", "vt_symbol", "open", "high", "low", "close", "signal")
-
-    def one(key, rows):
-        return pd.DataFrame([(key[0], *t) for t in simulate(rows, rule)], columns=["portfolio", "datetime", "vt_symbol", "direction", "price", "volume"])
-
-    return data.groupBy("portfolio").applyInPandas(one, TRADES)
+    data = data.select(F.col(portfolio or "portfolio").cast("string").alias("portfolio"), F.col("datetime").cast("timestamp_ntz").alias("datetime"), "vt_symbol", *(F.col(c).cast("double").alias(c) for c in VALUES))
+    data = data.where("datetime is not null").repartition("portfolio").sortWithinPartitions("portfolio", "datetime", "vt_symbol")
+    schema = pa.schema([("portfolio", pa.string()), ("datetime", pa.timestamp("us")), ("vt_symbol", pa.string()), ("direction", pa.string()), ("price", pa.float64()), ("volume", pa.float64())])
+
+    def trade(batches):
+        name = book = None
+        for portfolio, when, symbols, values in _times(batches):
+            if book is None or portfolio != name:
+                name, book = portfolio, Book(rule)
+            if trades := book.day(when, symbols, values):
+                columns = [[portfolio] * len(trades), *zip(*trades, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return data.mapInArrow(trade, TRADES)
 
 
 def daily_result(bars: DataFrame, trades: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -152,6 +153,22 @@ def test_matching():
     assert any(t[1] == "b" and t[2] == "LONG" for t in trades) and any(t[1] == "a" and t[2] == "SHORT" for t in trades)
 
 
+def test_rotation_takes_bars_one_time_after_another(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(p, dt.datetime(2024, 1, d), str(s), 10.0 + s, 11.0 + s, 9.0 + s, 10.0 + s, rng.choice([None, rng.random()])) for p in ("a", "b", None) for d in range(1, 20) for s in range(12) if rng.random() < 0.9]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "p string, datetime timestamp_ntz, vt_symbol string, open double, high double, low double, close double, signal double")
+    rule = backtest.Rotation(top=3, drop=1, capital=100_000, min_volume=1.0)
+    want = {(p, *t) for p in ("a", "b", None) for t in backtest.simulate(df.where(F.col("p").eqNullSafe(p)).toPandas(), rule)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = backtest.run(df, rule, "p")
+        assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()  # a group of that kind is in memory as a whole
+        assert {tuple(r) for r in out.collect()} == want and len(want) > 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_rotation_buys_for_all_that_are_to_go():
     days = pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03"])
     signals = {"a": (3.0, 0.0, 0.0), "b": (2.0, 1.0, 1.0), "c": (1.0, 2.0, 2.0)}
