@@ -127,13 +127,14 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 CROWD_REACH = 15
 
 
-def link_groups(keyed: DataFrame, alike, split, judge=None, reach: int = 1) -> DataFrame:
+def link_groups(keyed: DataFrame, alike, split, judge=None, reach: int = 1, alone: bool = False) -> DataFrame:
     """Components ``(id, component)`` of nodes that share a key and are ``alike``, a function of two fingerprint columns.
 
     ``keyed(key long, id long, fp long)`` has one row for each node and key; ``fp`` depends on ``id`` alone.
     ``split`` is a function of a fingerprint column that divides crowded keys: an array of numbers under which a node is
     found, and one of those under which those like it are looked for. Of nodes that are alike, at least one number of the
-    one's second array is in the other's first. ``judge``, if given, returns three things: ``(id, sign)`` of each node, a
+    one's second array is in the other's first. With ``alone`` these numbers are apart enough without the keys, and a node is
+    divided once, not once in each of its crowded keys. ``judge``, if given, returns three things: ``(id, sign)`` of each node, a
     function of two signs that says which pairs are worth a look, and a function that takes candidate pairs ``(a, b)``, and
     whether they have been looked at in this way, and returns those that hold.
 
@@ -176,14 +177,21 @@ def link_groups(keyed: DataFrame, alike, split, judge=None, reach: int = 1) -> D
         placed = crowd.join(found, "id", "left").select("key", "id", "fp", "sign", F.coalesce("component", "id").alias("part"))
     counted = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    placed = settle(placed.join(mixed, "key"), "mixed")
-    crowded = placed.groupBy("id").agg(F.collect_list("key").alias("keys"))  # of one node: as many as it has keys at most
-    placed = placed.join(crowded, "id")
+    placed = placed.join(mixed, "key")
     under, look = split(F.col("fp"))
-    odd = placed.where("part <> main").select("key", F.explode(look).alias("sub"), *(F.col(c).alias(f"{c}2") for c in ("id", "fp", "sign", "part", "keys")))
-    far = odd.join(placed.select("key", F.explode(under).alias("sub"), "id", "fp", "sign", "part", "keys"), ["key", "sub"])
-    far = far.where((F.col("part") != F.col("part2")) & alike(F.col("fp"), F.col("fp2")) & worth(F.col("sign"), F.col("sign2")))
-    far = far.where(F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))  # a pair under the first key it shares
+    if alone:
+        placed = settle(placed.groupBy("id", "fp", "sign", "part").agg(F.max(F.col("part") != F.col("main")).alias("odd")), "mixed")
+        by, rest = ["sub"], ["odd"]
+        first_met = ~F.col("odd") | (F.col("id") < F.col("id2"))  # of two odd nodes each looks for the other
+    else:
+        placed = settle(placed, "mixed")
+        crowded = placed.groupBy("id").agg(F.collect_list("key").alias("keys"))  # of one node: as many as it has keys at most
+        placed = placed.join(crowded, "id").withColumn("odd", F.col("part") != F.col("main"))
+        by, rest = ["key", "sub"], ["keys"]
+        first_met = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")  # a pair under the first key it shares
+    odd = placed.where("odd").select(*by[:-1], F.explode(look).alias("sub"), *(F.col(c).alias(f"{c}2") for c in ("id", "fp", "sign", "part", *rest)))
+    far = odd.join(placed.select(*by[:-1], F.explode(under).alias("sub"), "id", "fp", "sign", "part", *rest), by)
+    far = far.where((F.col("part") != F.col("part2")) & alike(F.col("fp"), F.col("fp2")) & worth(F.col("sign"), F.col("sign2")) & first_met)
     more = settle(verify(far.select(*pair(F.col("id"), F.col("id2"))).distinct(), True), "links")
     discard(tried)
     if more.isEmpty():

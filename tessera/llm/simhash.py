@@ -21,6 +21,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 REACH = 7
 #: (shift, bits) of three blocks of a segment.
 BLOCKS = ((0, 8), (8, 8), (16, 7))
+#: (shift, bits) of six blocks of a fingerprint.
+SIXTHS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 GENERATOR = 0b101011100011  # of the binary Golay code [23, 12, 7]
 
 
@@ -143,9 +145,10 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
 
 def untouched(fp: Column) -> tuple[Column, Column]:
-    """Five blocks of a fingerprint: four wrong bits leave one of them as it is."""
-    blocks = F.array(*(F.lit(i << 13).cast("long").bitwiseOR(F.shiftrightunsigned(fp, 13 * i).bitwiseAND(F.lit((1 << 13) - 1))) for i in range(MAX_BITS + 1)))
-    return blocks, blocks
+    """Two of six blocks of a fingerprint, in all fifteen ways: four wrong bits leave two of them as they are."""
+    part = lambda shift, bits: F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    pairs = F.array(*(F.lit(n << 22).cast("long").bitwiseOR(F.shiftleft(part(*a), 11)).bitwiseOR(part(*b)) for n, (a, b) in enumerate(combinations(SIXTHS, 2))))
+    return pairs, pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -158,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = settle(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = settle(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
-    parts = link_groups(_keyed(classes), lambda a, b: hamming(a, b) <= MAX_BITS, untouched, reach=REACH)
+    parts = link_groups(_keyed(classes), lambda a, b: hamming(a, b) <= MAX_BITS, untouched, reach=REACH, alone=True)
     named = classes.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

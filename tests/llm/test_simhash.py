@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from tessera.llm import common, simhash
 from tessera.llm.simhash import MAX_BITS, drop_near_duplicates, fingerprint, fuzzy_keys, golay, near_duplicates
 
 
@@ -85,3 +86,57 @@ def test_odd_inputs(spark, documents):
     assert out == sorted([(3, 1), (3, 1), (None, None), (1, 1), (2, 2)], key=str)
     kept = drop_near_duplicates(documents([(3, "a b"), (1, "a b"), (None, "a b"), (2, "c d")]))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, None] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def crowd(rng, n):
+    """Different fingerprints that are one but for three to eight bits of the low 46: many keys have many of them."""
+    base, out = rng.getrandbits(64), set()
+    while len(out) < n:
+        fp = base
+        for bit in rng.sample(range(46), rng.randint(3, 8)):
+            fp ^= 1 << bit
+        out.add(fp)
+    return sorted(out)
+
+
+def test_nodes_of_crowded_keys_are_divided_once(spark, monkeypatch):
+    fps = crowd(random.Random(11), 600)
+    marked = spark.createDataFrame([(i, fp - (1 << 64) * (fp >> 63)) for i, fp in enumerate(fps)], "doc_id long, fp long")
+    divided, plain = [], common.settle
+
+    def counted(df, label="step"):
+        out = plain(df, label)
+        if label == "mixed":
+            divided.append((out.count(), out.select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(common, "settle", counted)
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: marked)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(marked.withColumn("text", F.lit(""))).collect()}
+    top = list(range(len(fps)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= MAX_BITS:
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    assert found == {i: find(i) for i in range(len(fps))}
+    assert divided and all(rows == ids for rows, ids in divided)
+
+
+def test_fingerprints_within_four_bits_share_a_division(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(500):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), 4):
+            b ^= 1 << bit
+        pairs.append((a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    under, look = simhash.untouched(F.col("a"))[0], simhash.untouched(F.col("b"))[1]
+    assert df.where(~F.arrays_overlap(under, look)).count() == 0
