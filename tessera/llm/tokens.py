@@ -29,6 +29,16 @@ def _of(kind: str) -> str:
     return "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind)
 
 
+def _alphabet() -> dict[int, str]:
+    """The byte alphabet of byte-level models: bytes that are visible in Latin-1 are themselves, the others follow from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_ALPHABET = _alphabet()
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes. Special-token strings in a text are ordinary text."""
 
@@ -41,6 +51,7 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.split, self.lower = _splitter(_layout(path))
         self.odd = re.compile(f"[^{re.escape(_PLAIN)}]")
+        self.model = self.tokenizer.model
         self.recent: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -71,17 +82,18 @@ class Encoder:
                 continue
             pieces = self.split(text.lower() if self.lower else text)
             ids = list(map(recent.get, pieces))
-            gaps = [(i, pieces[i]) for i, known in enumerate(ids) if known is None]
-            lacking.update((piece, before.get(piece)) for _, piece in gaps)
-            found.append((ids, gaps))
+            gaps = [i for i, known in enumerate(ids) if known is None]
+            unknown = [pieces[i] for i in gaps]
+            lacking.update(zip(unknown, map(before.get, unknown), strict=True))
+            found.append((ids, gaps, unknown))
         new = [piece for piece, known in lacking.items() if known is None]
         if new:
             lacking.update(zip(new, self._encode(new), strict=True))
         out = []
         for part in found:
             if isinstance(part, tuple):
-                ids, gaps = part
-                for i, piece in gaps:
+                ids, gaps, unknown = part
+                for i, piece in zip(gaps, unknown, strict=True):
                     ids[i] = lacking[piece]
                 part = b"".join(ids)
             out.append(part)
@@ -89,21 +101,27 @@ class Encoder:
         return out
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each pre-token. Where blanks are dropped between pre-tokens, one text of them all is encoded and cut by the library's word numbers."""
+        """The ids of each pre-token.
+
+        Where blanks are dropped between pre-tokens, one text of them all is encoded and cut by the library's word numbers.
+        Elsewhere each is a word of the library's model as it is, written in the byte alphabet; zero bytes are in no pre-token.
+        """
         if self.lower:
             whole = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
             ids, words = np.array(whole.ids, "<u4").tobytes(), np.array(whole.word_ids, np.int64)
             cuts = [0, *((np.flatnonzero(np.diff(words)) + 1) * 4).tolist(), len(ids)]
             if len(cuts) == len(pieces) + 1:
                 return [ids[a:b] for a, b in pairwise(cuts)]
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        words = "\0".join(pieces).encode().decode("latin-1").translate(_ALPHABET).split(_ALPHABET[0])
+        return [_packed([token.id for token in self.model.tokenize(word)]) for word in words]
 
     def _remember(self, pieces: dict[str, bytes]) -> None:
-        for piece, ids in pieces.items():
-            if len(piece) < 64:
-                if len(self.recent) >= MEMO // 2:
-                    self.before, self.recent = self.recent, {}
-                self.recent[piece] = ids
+        for piece in [piece for piece in pieces if len(piece) >= 64]:
+            del pieces[piece]
+        if len(self.recent) + len(pieces) > MEMO // 2:
+            self.before, self.recent = self.recent, {}
+        self.recent.update(pieces)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -124,7 +142,7 @@ def _splitter(layout: dict):
         return None, False
     pre, norm = layout["pre_tokenizer"] or {}, layout["normalizer"] or {}
     if not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+").findall, False
+        return re.compile(rf" ?[{letter}]+| ?[{number}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+").findall, False  # the most frequent first
     steps = [n.get("type") for n in norm.get("normalizers", [])]
     inner = pre.get("pretokenizers", [])
     if steps == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in inner] == ["Split", "ByteLevel"] and not inner[1].get("use_regex") and not inner[1].get("add_prefix_space"):

@@ -40,6 +40,24 @@ def test_many_texts_at_once_and_a_small_memo(path, monkeypatch):
     assert list(Encoder(path).each(texts)) == wanted
 
 
+def test_new_pre_tokens_of_the_byte_layout_go_to_the_model(monkeypatch):
+    plain = Tokenizer.from_file(BYTE)
+    plain.encode_special_tokens = True
+    rng, plain_characters = random.Random(4), tokens._PLAIN
+    texts = ["".join(rng.choice(plain_characters + 40 * " " + 9 * "'\n") for _ in range(400)).replace("<|", "") for _ in range(300)]
+    wanted = [np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    encode, through = Encoder(BYTE), []
+
+    class Counted:
+        def __getattr__(self, name):
+            through.append(name)
+            return getattr(plain, name)
+
+    encode.tokenizer = Counted()
+    assert list(encode.each(texts)) == wanted
+    assert not through  # neither the whole text's nor a pre-token's way through normaliser and splitter
+
+
 def reference(path, text, end):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
