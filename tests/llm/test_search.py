@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import topk
+from tessera.llm import common, topk
 from tessera.llm.decontaminate import contaminated, drop_contaminated
 from tessera.llm.line_dedup import dedup_lines, keys, marked, once, similar_groups, strip_lines, told_apart
 
@@ -210,6 +210,40 @@ def test_line_dedup_recall_over_whole_table(spark):
     assert len(every) > 300 and sum(every) >= 0.99 * len(every)
 
 
+def test_crowded_keys_are_compared_in_lots_without_the_nodes_other_keys(spark, monkeypatch):
+    rng, tables = random.Random(15), []
+    keyed = [(key, i, rng.randrange(400)) for i in range(300) for key in rng.sample(range(4), 2)]
+    mark = {i: fp for _, i, fp in keyed}
+    keyed = [(key, i, mark[i]) for key, i, _ in keyed]
+    having = collections.defaultdict(list)
+    for key, i, _ in keyed:
+        having[key].append(i)
+    links = {(a, b) for ids in having.values() for a in ids for b in ids if a < b and abs(mark[a] - mark[b]) <= 1}
+    parent = {i: i for i in mark}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {i for two in links for i in two}
+
+    def settle(df, label="step"):
+        tables.append((label, df.columns))
+        return settled(df, label)
+
+    settled = common.settle
+    monkeypatch.setattr(common, "settle", settle)
+    monkeypatch.setattr(common, "LOT_ROWS", 100, raising=False)
+    monkeypatch.setattr(common, "CROWD_REACH", 1)  # leaves links to the lots
+    out = common.link_groups(spark.createDataFrame(keyed, "key long, id long, fp long"), lambda a, b: F.abs(a - b) <= 1, lambda fp: (F.array(fp), F.array(fp - 1, fp, fp + 1)))
+    assert {tuple(r) for r in out.collect()} == {(i, find(i)) for i in linked}
+    assert sum(label == "far" for label, _ in tables) > 2 and all("keys" not in names for _, names in tables)
+
+
 def test_lines_of_one_hash_are_told_apart(spark):
     said = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 7)], "id long, check long")
     apart, again = told_apart(said)
