@@ -13,9 +13,6 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import pairwise
-
-import numpy as np
 
 #: Characters on which this module's splitting is known to agree with the library's: their classes and lower case are old and fixed.
 _PLAIN = "\t\n\r" + "".join(map(chr, range(0x20, 0x7F))) + "".join(chr(c) for c in range(0xA1, 0x180) if c not in (0xAD, 0x130))
@@ -103,16 +100,9 @@ class Encoder:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """The ids of each pre-token.
 
-        Where blanks are dropped between pre-tokens, one text of them all is encoded and cut by the library's word numbers.
-        Elsewhere each is a word of the library's model as it is, written in the byte alphabet; zero bytes are in no pre-token.
+        Each is a word of the library's model as it is, written in the byte alphabet: both layouts end in it, and these characters
+        are normalised already. Zero bytes are in no pre-token.
         """
-        if self.lower:
-            whole = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-            ids, words = np.array(whole.ids, "<u4").tobytes(), np.array(whole.word_ids, np.int64)
-            cuts = [0, *((np.flatnonzero(np.diff(words)) + 1) * 4).tolist(), len(ids)]
-            if len(cuts) == len(pieces) + 1:
-                return [ids[a:b] for a, b in pairwise(cuts)]
-            return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         words = "\0".join(pieces).encode().decode("latin-1").translate(_ALPHABET).split(_ALPHABET[0])
         return [_packed([token.id for token in self.model.tokenize(word)]) for word in words]
 

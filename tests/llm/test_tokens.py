@@ -58,6 +58,17 @@ def test_new_pre_tokens_of_the_byte_layout_go_to_the_model(monkeypatch):
     assert not through  # neither the whole text's nor a pre-token's way through normaliser and splitter
 
 
+def test_new_pre_tokens_of_the_word_layout_go_to_the_model():
+    plain = Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    rng, plain_characters = random.Random(5), tokens._PLAIN
+    texts = ["".join(rng.choice(plain_characters + 40 * " " + 9 * "'\n") for _ in range(400)).replace("<|", "") for _ in range(300)]
+    wanted = [np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    encode = Encoder(WORD)
+    encode.tokenizer = None  # neither the whole text's nor a pre-token's way through normaliser and splitter
+    assert list(encode.each(texts)) == wanted
+
+
 def reference(path, text, end):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
