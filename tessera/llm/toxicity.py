@@ -160,92 +160,6 @@ def fit(features: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, block
     return theta[:-1] * ratio, float(theta[-1])
 
 
-def score(self, text: str | None) -> float:
-        found = [s[s >= 0] for s in (self.slot[h] for h in grams(text))]
-        total = self.bias + (float(self.weight[np.unique(np.concatenate(found))].sum()) if found else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(total, -700, 700))))
-
-
-def held_out(id_col: str) -> Column:
-    """The rows whose labels are never learnt from: crc32 of the id as text, mod 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, label)`` of the rows to learn from: labelled and not held out. Of several labels the largest counts."""
-    marks = take(labels, doc_id=id_col, label=label_col).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    marks = marks.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    if marks.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
-    return take(docs, doc_id=id_col, text=text_col).join(marks, "doc_id").select("doc_id", F.col("text").cast("string"), "label")
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from the labelled rows that are not held out.
-
-    Document frequencies of all n-grams are counted over all of them, on the executors. The driver gets the counts (at
-    most ``1 << BITS`` rows) and, for about 0.95 ``fit_rows`` rows chosen by a hash of the id, which of the ``features``
-    (32767 at most) features they have, as 16-bit numbers. Without rows of both classes the model is the smoothed share
-    of label 1.
-    """
-    rows = labelled(docs, labels, label_col, id_col, text_col)
-
-    def count(batches):
-        flags, counts, n = np.zeros(1 << BITS, bool), np.zeros((2, 1 << BITS), np.int64), [0, 0]
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[int(label == 1), present(text, flags)] += 1
-                n[int(label == 1)] += 1
-        used = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[n[0], counts[0, used]]), pa.array(np.r_[n[1], counts[1, used]])], ["gram", "zeros", "ones"])
-
-    summed = rows.select("text", "label").mapInArrow(count, "gram long, zeros long, ones long").groupBy("gram").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    gram, zeros, ones = (summed.column(c).to_numpy() for c in ("gram", "zeros", "ones"))
-    n0, n1 = int(zeros[gram < 0].sum()), int(ones[gram < 0].sum())
-    slot = np.full(1 << BITS, -1, np.int16)
-    if not n0 or not n1:
-        return Model(slot, np.zeros(1), float(np.log((n1 + 1) / (n0 + 1))))
-    gram, zeros, ones = gram[gram >= 0], zeros[gram >= 0], ones[gram >= 0]
-    ratio = np.log((ones + 1) / (n1 + 2)) - np.log((zeros + 1) / (n0 + 2))
-    pool = (ones + zeros) / (n0 + n1)
-    apart = np.abs(ones / n1 - zeros / n0) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = np.lexsort((gram, -apart))[:features]
-    slot[gram[chosen]] = np.arange(len(chosen))
-    ratio = ratio[chosen]
-
-    share = min(1.0, 0.95 * FIT_ROWS / (n0 + n1)) if n0 + n1 > FIT_ROWS else 1.0
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "label").limit(FIT_ROWS)
-
-    def features(batches):
-        flags = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            found = [(s := slot[present(t, flags)])[s >= 0].tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
-
-    sample = sorted((r["label"], sorted(r["features"])) for r in picked.mapInArrow(features, "label int, features array<int>").collect())
-    weight, bias = fit([s[1] for s in sample], np.array([s[0] for s in sample]), ratio)
-    return Model(slot, weight, bias)
-
-
-def fit(features: list[list[int]], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty on the scaled features, by Adam on all rows: ``(weight * ratio, bias)``."""
-    y = (labels == 1).astype(float)
-    sizes = np.array([len(f) for f in features])
-    row, col = np.repeat(np.arange(len(features)), sizes), np.array([c for f in features for c in f], np.int64)
-    value = ratio[col]
-    theta = np.zeros(len(ratio) + 1)
-    theta[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1):
-        z = np.bincount(row, value * theta[col], len(y)) + theta[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y) / len(y)
-        slope = np.append(np.bincount(col, value * error[row], len(ratio)) + L2 * theta[:-1], error.sum())
-        first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope * slope
-        theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return theta[:-1] * ratio, float(theta[-1])
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``; the score depends on the whole text alone.
 

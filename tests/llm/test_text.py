@@ -164,3 +164,14 @@ def test_toxicity_on_held_out_rows(spark):
     area = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
     print(len(ones), len(zeros), "area", area, "caught", sum(s >= 0.3 for s in ones), "false", sum(s >= 0.3 for s in zeros))
     assert area > 0.9
+
+
+def test_toxicity_fit_sample_is_compact_and_as_large_as_asked_for(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    docs = documents([" ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(8)) + " zwurgle" * (i % 3 == 0) for i in range(800)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(800)], "doc_id long, toxic int")
+    seen, real = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda features, *rest: (seen.extend(features), real(features, *rest))[1])
+    model = toxicity.train(docs, labels, fit_rows=200)
+    assert 100 < len(seen) < 300 and all(f.dtype == np.int16 for f in seen)
+    assert model.score("one two zwurgle") > 0.5 > model.score("one two three")
