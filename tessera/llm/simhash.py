@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hamming, link_groups, place, settle, take
+from tessera.llm.common import hamming, link_groups, place, settle, settle_alone, take
 
 SEED = 42
 MAX_BITS = 4
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = settle(fingerprints(docs, id_col, text_col, size), "fingerprints")
     classes = settle(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
-    parts = link_groups(_keyed(classes), lambda a, b: hamming(a, b) <= MAX_BITS, untouched, reach=REACH, alone=True)
+    parts = settle_alone(lambda: link_groups(_keyed(classes), lambda a, b: hamming(a, b) <= MAX_BITS, untouched, reach=REACH, alone=True), "parts")
     named = classes.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

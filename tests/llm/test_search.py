@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, topk
 from tessera.llm.decontaminate import contaminated, drop_contaminated
-from tessera.llm.line_dedup import dedup_lines, keys, marked, once, similar_groups, strip_lines, told_apart
+from tessera.llm.line_dedup import dedup_lines, keys, marked, neighbours, once, similar_groups, strip_lines, told_apart
 
 
 def plain_top(vectors, k, queries):
@@ -272,3 +272,67 @@ def test_line_dedup_takes_lines_of_short_words_and_without_spaces(spark, documen
     docs = ["it is as it was in it", "it is as it was on it", "1 2 3 4 5 6 7 8 9 10", "1 2 3 4 5 6 7 8 9 11", "今天天气很好我们去公园", "今天天气很好我们去学园", "สวัสดีครับทุกคน", "สวัสดีครับทุกค่น", "a b c", "a b d", "a b c d", "a b c d e"]
     out = dedup_lines(documents(docs)).orderBy("doc_id").collect()
     assert [r["n_removed"] for r in out] == [0, 1, 0, 1, 0, 1, 0, 1, 0, 0, 0, 1]
+
+
+def test_ordered_crowds_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(common, "CROWD_REACH", 2)
+    real, mixed = common.settle, []
+    monkeypatch.setattr(common, "settle", lambda df, label="step": (out := real(df, label), mixed.append(out.count()) if label == "mixed" else None)[0])
+    rng = random.Random(17)
+    fps = {i: rng.randrange(10, 400) for i in range(300)}
+    keyed = [(key, i, fps[i]) for key in range(40) for i in rng.sample(range(300), rng.randrange(2, 40))]
+    alike = lambda a, b: abs(a - b) <= max(a, b) // 50
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = set()
+    for a in keyed:
+        for b in keyed:
+            if a[0] == b[0] and a[1] < b[1] and alike(a[2], b[2]):
+                linked |= {a[1], b[1]}
+                x, y = sorted((find(a[1]), find(b[1])))
+                root[y] = x
+    one = lambda fp: (F.array(F.lit(0)), F.array(F.lit(0)))
+    near = lambda a, b: F.abs(a - b) <= F.floor(F.greatest(a, b) / 50)
+    out = common.link_groups(spark.createDataFrame(keyed, "key long, id long, fp long"), near, one, ordered=True)
+    assert {tuple(r) for r in out.collect()} == {(i, find(i)) for i in linked}
+    assert len(linked) > 100 and mixed[0] < len(keyed) / 3
+
+
+def test_line_dedup_keeps_no_scratch_but_its_result(spark, documents):
+    from pathlib import Path
+
+    rng = random.Random(18)
+    lines = [" ".join(words(rng, 30, [f"word{i}" for i in range(200)])) for _ in range(50)]
+    root = Path(common.scratch_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.glob("*")}
+    out = dedup_lines(documents(lines + [f"{x} end" for x in lines]))
+    assert {p.name.split("-")[0] for p in root.glob("*") if p.name not in before} == {"gone"}
+    assert out.agg(F.sum("n_removed")).first()[0] == 50
+
+
+def test_long_lines_share_neighbours_as_far_as_edits_allow(spark, documents):
+    rng = random.Random(19)
+    vocab = [f"word{i}" for i in range(60)]
+    pairs, edits = [], []
+    for n in (101, 150, 400):
+        line = words(rng, n, vocab)
+        for e in (1, n // 10, n // 5 - 1):
+            other = list(line)
+            for at in sorted(rng.sample(range(n), e), reverse=True):
+                kind = rng.randrange(3)
+                other[at : at + (kind < 2)] = [] if kind == 0 else [f"new{rng.randrange(5)}"]
+            pairs.append((" ".join(line), " ".join(other)))
+            edits.append(e)
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", neighbours(F.col("a")).alias("a"), neighbours(F.col("b")).alias("b")).orderBy("i").collect()
+    both = [(set(r["a"]), set(r["b"]), e) for r, e in zip(got, edits, strict=True) if r["b"]]  # with 100 words or fewer there are none
+    assert len(both) >= 6 and all(len(a) > 50 and len(a - b) <= 2 * e and len(b - a) <= 2 * e for a, b, e in both)
+    line = [f"word{i}" for i in range(200)]
+    near, far = ([f"other{i}" if i % 5 == 2 or i in also else w for i, w in enumerate(line)] for also in ((), (0,)))
+    shuffled = " ".join(sorted(line, key=lambda w: hash((w, 3)) % 97))
+    out = dedup_lines(documents([" ".join(line), " ".join(near), shuffled, " ".join(far).replace("other", "third")])).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0, 1, 0, 0]
