@@ -7,6 +7,7 @@ are null unless the frame holds n values; the others accept what there is.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
@@ -160,7 +161,10 @@ def corr(c: Clock, x: Column, y: Column, n: int) -> Column:
     """Pearson correlation of the rows that have both; NaN where a side is constant, null where infinite."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    out = N.div(c.over(F.covar_pop(x, y), n), c.over(F.stddev_pop(x), n) * c.over(F.stddev_pop(y), n))
+    # The covariance of x with itself adds up products of the deviations from the old and the new mean, as DuckDB's variance does
+    # to the last bit; Spark's own variance does not, and alphas rank what agrees but for that bit.
+    spread = lambda v: F.sqrt(c.over(F.covar_pop(v, v), n))
+    out = N.div(c.over(F.covar_pop(x, y), n), spread(x) * spread(y))
     return F.when(F.abs(out) == F.lit(float("inf")), F.lit(None).cast("double")).otherwise(out)
 
 
@@ -170,10 +174,13 @@ def cov(c: Clock, x: Column, y: Column, n: int) -> Column:
 
 
 def decay(c: Clock, x: Column, n: int, newest_first: bool = False) -> Column:
-    """Linearly weighted mean, the oldest row weighing n and the newest 1 (or the other way round); full."""
-    s, weighted, first = _line(c, x, n)
-    rising = weighted - (first - 1) * s
-    return full(c, x, n, (rising if newest_first else (n + 1) * s - rising) / (n * (n + 1) / 2))
+    """Linearly weighted mean, the oldest row weighing n and the newest 1 (or the other way round); full.
+
+    The terms are added from the newest on: sums by row numbers differ between rows of equal values, and ranks would tell these apart.
+    """
+    n, seen = int(n), values(c, x, n)
+    terms = [F.get(seen, n - 1 - k) * float(n - k if newest_first else k + 1) for k in range(n)]
+    return full(c, x, n, reduce(Column.__add__, terms) / (n * (n + 1) / 2))
 
 
 def product(c: Clock, x: Column, n: int) -> Column:

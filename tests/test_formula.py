@@ -1,5 +1,8 @@
+import datetime
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +104,24 @@ def test_recursive_functions_do_not_mix_symbols(spark):
     df = spark.createDataFrame(rows, "d string, vt_symbol string, close double").withColumn("datetime", F.col("d").cast("timestamp_ntz"))
     out = evaluate(df, {"v": "ta_rsi(close, 5)"}, keep=("datetime", "vt_symbol")).orderBy("vt_symbol", "datetime").collect()
     assert out[10]["v"] == 100 and out[30]["v"] == 0 and out[20]["v"] is None
+
+
+def test_equal_windows_have_equal_values_to_the_last_bit(spark):
+    """Ranks of alphas tell values apart that differ in the last bit: rows before a window must not be seen in it."""
+    rng = random.Random(21)
+    last = [(rng.uniform(900, 2000), rng.uniform(1, 50)) for _ in range(12)]
+    rows = [(s, i, *(last[i - s] if i >= s else (rng.random(), rng.random()))) for s in (0, 1, 7, 50, 333) for i in range(s + 12)]
+    panel = spark.createDataFrame([(f"s{s}", datetime.datetime(2020, 1, 1) + datetime.timedelta(days=i), a, b) for s, i, a, b in rows], "vt_symbol string, datetime timestamp_ntz, close double, volume double")
+    made = evaluate(panel, {"decay": "ts_decay_linear(close, 10)", "corr": "corr(close, close, 9)"}, keep=("datetime", "vt_symbol"))
+    ends = {r["vt_symbol"]: (r["decay"], r["corr"]) for r in made.orderBy("datetime").collect()}
+    assert len(ends) == 5 and len(set(ends.values())) == 1
+    x = [v[0] for v in last]
+    assert ends["s0"][0] == sum((k + 1) * v for k, v in enumerate(x[:-11:-1])) / 55
+    mean = spread = 0.0
+    for n, v in enumerate(x[-9:], 1):  # as DuckDB adds up a variance
+        before, mean = mean, mean + (v - mean) / n
+        spread += (v - before) * (v - mean)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::DOUBLE[]) AS x", [x[-9:]])
+    assert con.execute("SELECT stddev_pop(x) FROM t").fetchone()[0] == math.sqrt(spread / 9)
+    assert ends["s0"][1] == spread / 9 / (math.sqrt(spread / 9) * math.sqrt(spread / 9))
