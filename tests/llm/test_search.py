@@ -187,6 +187,15 @@ def test_similar_lines_always_share_a_key(spark):
     assert {a // 2 for (a, _, x), (_, _, y) in zip(nodes[::2], nodes[1::2], strict=True) if x != y} <= met
 
 
+def test_a_line_has_a_key_once_however_often_it_repeats_a_run(spark):
+    rng = random.Random(20)
+    vocab = [f"word{i}" for i in range(500)]
+    nodes = [" ".join(words(rng, 20, vocab) + times * run + words(rng, 20, vocab)) for times in (2, 9, 100) for run in (["is", "on"], ["on", "is", "the"], ["the"], words(rng, 12, vocab)) for _ in range(4)]
+    made = keys(spark.createDataFrame([(i, len(x.split(" ")), x) for i, x in enumerate(nodes)], "id long, n int, norm string"), 0.8)
+    times = made.groupBy("key", "id").count().agg(F.max("count"), F.countDistinct("id")).first()
+    assert tuple(times) == (1, len(nodes))
+
+
 def test_line_dedup_recall_over_whole_table(spark):
     """All pairs by edit similarity alone (those of lines that share no two neighbouring words aside) against groups found."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
